@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable
 sketch with a known rank error brackets each quantile first; then only the values
 inside the bracket (a fixed small share of the group) are counted and ranked, next to
-one count of everything below it.
+the number and the nearest value of everything below and above it.
 """
 
 from __future__ import annotations
@@ -33,22 +33,30 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float
 
     def place(i):
         lo, hi = F.col("_p")[2 * i], F.col("_p")[2 * i + 1]
-        below = F.col("_x") < lo
-        return F.when(F.col("_x") <= hi, F.struct(F.lit(i).alias("i"), F.when(~below, F.col("_x")).alias("v")))
+        side = F.when(F.col("_x") < lo, -1).when(F.col("_x") > hi, 1).otherwise(0)
+        return F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(side == 0, F.col("_x")).alias("v"))
 
-    spots = F.explode(F.array_compact(F.array(*[place(i) for i in range(len(qs))])))
-    counts = x.join(sketch, keyc).select(*keyc, "_n", spots.alias("_s")).groupBy(*keyc, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*keyc, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    spots = F.explode(F.array(*[place(i) for i in range(len(qs))]))
+    counts = (
+        x.join(sketch, keyc)
+        .select(*keyc, "_n", "_x", spots.alias("_s"))
+        .groupBy(*keyc, "_n", F.col("_s.i").alias("_i"), F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_m"), F.max("_x").alias("_hi"), F.min("_x").alias("_lo"))
+    )
+    w = Window.partitionBy(*keyc, "_i").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_end", F.sum("_m").over(w))
+    # below the bracket only the last rank is known, above it only the first
+    ranked = ranked.withColumn("_v", F.when(F.col("_side") == 1, F.col("_lo")).otherwise(F.col("_hi")))
     q = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1)
     pos = q * (F.col("_n") - 1)
     k = F.floor(pos)
-    first, last = F.col("_end") - F.col("_m"), F.col("_end") - 1
+    first = F.when(F.col("_side") < 0, F.col("_end") - 1).otherwise(F.col("_end") - F.col("_m"))
+    last = F.when(F.col("_side") > 0, F.col("_end") - F.col("_m")).otherwise(F.col("_end") - 1)
 
     def at(r):
         return F.max(F.when((first <= r) & (r <= last), F.col("_v")))
 
-    picked = ranked.filter(F.col("_v").isNotNull()).groupBy(*keyc, "_i").agg(at(k).alias("_a"), at(k + 1).alias("_b"), F.max(pos - k).alias("_f"))
+    picked = ranked.groupBy(*keyc, "_i").agg(at(k).alias("_a"), at(k + 1).alias("_b"), F.max(pos - k).alias("_f"))
     value = F.col("_a") + F.col("_f") * (F.coalesce("_b", "_a") - F.col("_a"))
     out = [F.max(F.when((F.col("_c") == columns.index(c)) & (F.col("_i") == qs.index(q)), value)).alias(n) for n, (c, q) in wanted.items()]
     return picked.groupBy(*keys).agg(*out)

@@ -1,4 +1,4 @@
 """All registered queries (importing a module registers its queries)."""
 
-from tickloom.plans import context_queries, feature_queries, recursive_queries  # noqa: F401
+from tickloom.plans import context_queries, feature_queries, label_queries, recursive_queries  # noqa: F401
 from tickloom.plans.registry import ORACLES, QUERIES  # noqa: F401
