@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import col, epoch, interval_seconds
+from tickloom.session import materialise
 
 KEY, TS, NO, CHUNK, COPY = "symbol", "ts", "bar_no", "chunk", "is_copy"
 CHUNK_BARS = 4096
@@ -110,6 +111,19 @@ def respread(df: DataFrame, back=0, ahead=0, size=None, scans=False) -> DataFram
     return spread(settle(df), back, ahead, size, scans)
 
 
+def number_rows(df: DataFrame, order: list[str], out: str = NO) -> DataFrame:
+    """0-based position in a global total order, for tables that are not bars.
+
+    Range partitions are stored once; each is numbered by itself and shifted by the
+    sizes of those before it (a table of one row per partition).
+    """
+    parts = materialise(df.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy(*order)) - 1
+    return parts.withColumn("_i", inside).join(starts, "_r").withColumn(out, F.col("_start") + F.col("_i")).drop("_r", "_i", "_start")
+
+
 # --- unbounded frames -------------------------------------------------------
 
 
