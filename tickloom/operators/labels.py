@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import change, epoch, flag, holds, ratio
-from tickloom.operators.panel import COPY, NO, ahead_of, lagged, panel, series, settle
+from tickloom.operators.panel import COPY, LAST, NO, ahead_of, lagged, panel, series, settle
 
 
 def forward_return(df: DataFrame, n: int, out="future_return") -> DataFrame:
@@ -47,16 +47,16 @@ def three_classes(df: DataFrame) -> DataFrame:
     return df.withColumn("target", F.when(F.col("target_short") == -1, -1).when(F.col("target_long") == 1, 1).otherwise(0))
 
 
-def drop_overlaps(df: DataFrame, seconds: int, interval="1h", size=4096) -> DataFrame:
+def drop_overlaps(df: DataFrame, seconds: int, interval="1h", size=65_536) -> DataFrame:
     """Zero a signal that follows the previous raw signal sooner than ``seconds``.
 
     Takes settled rows. Only the signal rows are put in order; the others pass by.
     """
     rest = df.filter(F.col("target") == 0)
-    sig = panel(df.filter(F.col("target") != 0).drop(NO), 1, 0, interval, size).withColumn("_prev", lagged("ts", 1))
+    sig = panel(df.filter(F.col("target") != 0).drop(NO, LAST), 1, 0, interval, size).withColumn("_prev", lagged("ts", 1))
     close = (epoch("ts") - epoch("_prev")) < seconds
     sig = settle(sig.withColumn("target", F.when(holds(close), 0).otherwise(F.col("target"))).drop("_prev"))
-    keep = [c for c in df.columns if c != NO]
+    keep = [c for c in df.columns if c not in (NO, LAST)]
     return rest.select(*keep).unionByName(sig.select(*keep))
 
 

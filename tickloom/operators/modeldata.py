@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.expr import ratio
-from tickloom.operators.panel import NO, number_rows, series, spread
+from tickloom.operators.panel import LAST, NO, number_rows, series, spread
 from tickloom.operators.quantile import quantiles
 from tickloom.session import materialise
 
 # Columns that are not features.
-NOT_FEATURES = ("symbol", "ts", "bar_no", "chunk", "is_copy", "open", "high", "low", "close", "volume", "target", "position", "future_return", "future_max")
+NOT_FEATURES = ("symbol", "ts", "bar_no", "last_no", "chunk", "is_copy", "open", "high", "low", "close", "volume", "target", "position", "future_return", "future_max")
 
 
 def feature_columns(df: DataFrame, exclude=NOT_FEATURES) -> list[str]:
@@ -35,10 +35,9 @@ def unit_hash(*keys: str, seed: int = 42) -> Column:
 
 
 def temporal_split(df: DataFrame, test=0.2) -> DataFrame:
-    """First 1 - test of each series is train (needs bar_no)."""
-    n = df.groupBy("symbol").agg((F.max(NO) + 1).alias("_n"))
-    d = df.join(n, "symbol")
-    return d.withColumn("split", F.when(F.col(NO) < F.floor(F.col("_n") * (1 - test)), "train").otherwise("test")).drop("_n")
+    """First 1 - test of each series is train (needs bar_no, last_no)."""
+    n = F.col(LAST) + 1
+    return df.withColumn("split", F.when(F.col(NO) < F.floor(n * (1 - test)), "train").otherwise("test"))
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], test=0.2, seed=42) -> DataFrame:
@@ -57,12 +56,11 @@ def time_folds(df: DataFrame, k=5) -> DataFrame:
 
     Adds block (0..k, the first one slightly longer) to each row.
     """
-    n = df.groupBy("symbol").agg((F.max(NO) + 1).alias("_n"))
-    size = F.floor(F.col("_n") / (k + 1))
-    start = F.col("_n") - k * size
-    d = df.join(n, "symbol")
+    n = F.col(LAST) + 1
+    size = F.floor(n / (k + 1))
+    start = n - k * size
     block = F.when(F.col(NO) < start, 0).otherwise(F.floor((F.col(NO) - start) / F.greatest(size, F.lit(1))) + 1)
-    return d.withColumn("block", block.cast("int")).drop("_n")
+    return df.withColumn("block", block.cast("int"))
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tickloom.functions.expr import col, epoch, interval_seconds
 from tickloom.session import materialise
 
-KEY, TS, NO, CHUNK, COPY = "symbol", "ts", "bar_no", "chunk", "is_copy"
-CHUNK_BARS = 4096
-BLOCK = 256  # unit of the recursive scans; chunk sizes are multiples of it
+KEY, TS, NO, LAST, CHUNK, COPY = "symbol", "ts", "bar_no", "last_no", "chunk", "is_copy"
+CHUNK_BARS = 65_536
+SCAN_REACH = 4_300  # bars after which a 200-bar exponential average forgets (see scan)
 
 
 def series():
@@ -53,15 +53,19 @@ def ahead_of(c, k: int = 1) -> Column:
     return F.lead(col(c), k).over(series())
 
 
-def number_bars(bars: DataFrame, interval: str = "1h", per_bucket: int = CHUNK_BARS) -> DataFrame:
-    """Add ``bar_no`` (0-based position in the series); bars are unique per (symbol, ts)."""
+def number_bars(bars: DataFrame, interval: str = "1h", per_bucket: int = 4096) -> DataFrame:
+    """Add ``bar_no`` (0-based position in the series) and ``last_no`` (that of its last bar).
+
+    Bars are unique per (symbol, ts), so a bucket of ``per_bucket`` intervals is bounded.
+    """
     if NO in bars.columns:
         return bars
     width = interval_seconds(interval) * per_bucket
     cut = F.floor(epoch(TS) / width)
     counts = bars.select(KEY, cut.alias("_bucket")).groupBy(KEY, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(KEY, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    every = Window.partitionBy(KEY)
+    starts = counts.select(KEY, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), (F.sum("_n").over(every) - 1).alias(LAST))
     inside = F.row_number().over(Window.partitionBy(KEY, "_bucket").orderBy(TS)) - 1
     return (
         bars.withColumn("_bucket", cut)
@@ -75,16 +79,17 @@ def number_bars(bars: DataFrame, interval: str = "1h", per_bucket: int = CHUNK_B
 def spread(numbered: DataFrame, back: int = 0, ahead: int = 0, size: int = CHUNK_BARS, scans: bool = False) -> DataFrame:
     """Assign chunks and copy the bars that neighbour chunks need.
 
-    ``scans``: the panel will feed ``scan``; the copies then start on a block border,
-    one block early (its first bar has no predecessor). The layout is kept as
-    metadata of the chunk column.
+    ``scans``: the panel will feed ``scan``, so a warm-up for recursive features is
+    copied as well. The layout is kept as metadata of the chunk column.
     """
     if scans:
-        back = (back + BLOCK - 1) // BLOCK * BLOCK + BLOCK
+        back += SCAN_REACH
     n = F.col(NO)
     home = F.floor(n / size)
     first = F.greatest(F.floor((n - ahead) / size), F.lit(0))
     last = F.floor((n + back) / size)
+    if LAST in numbered.columns:
+        last = F.least(last, F.floor(F.col(LAST) / size))
     chunk = F.explode(F.sequence(first, last)) if back or ahead else home
     meta = {"size": size, "back": back, "ahead": ahead}
     df = numbered.withColumn(CHUNK, chunk)

@@ -1,17 +1,16 @@
 """Recursive features: y[t] = a[t] * y[t-1] + b[t] over a series of any length.
 
 An exponential average is an affine recursion whose factor is 1 while a seed mean
-is summed up and d = 1 - alpha afterwards. It needs no row loop:
+is summed up and d = 1 - alpha afterwards. It needs no row loop and no join:
 
-* inside a block of bars, y = d^p * (carry + sum b_j * d^-p_j): a running sum;
-  the block is short enough that d^-p stays far from overflow;
-* a block as a whole is one affine map (A, B), found by a plain groupBy;
-* the carry into a block folds the maps of the blocks before it. Blocks so far
-  back that the product of their factors is exactly 0.0 in a double cannot
-  matter, so the fold has a bounded frame, and the block table (rows / block)
-  is itself spread in chunks with that many copied rows.
+* inside a block of bars, y = d^p * sum b_j * d^-p_j: a running sum in JVM code, the
+  block being short enough that d^-p stays far from overflow;
+* the block is also long enough that d^length is below double precision, so all the
+  past a block needs is the value at the end of the block before it;
+* for the same reason a chunk needs no more past than ``reach`` copied bars. What is
+  left out is smaller than the rounding of one addition.
 
-Everything stays in JVM expressions, and no task holds a whole series.
+All averages of a call share one window per block length and one per chunk.
 """
 
 from __future__ import annotations
@@ -23,9 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import flag, ratio
-from tickloom.operators.panel import BLOCK, CHUNK, COPY, KEY, NO, lagged, layout, spread
+from tickloom.operators.panel import CHUNK, KEY, NO, lagged, layout, series
 
-DEAD = 745.2  # exp(-745.2) is 0.0 in a double
+# Block length by the longest span that may use it: span |ln d| stays within (37, 650).
+BLOCKS = ((3, 256), (50, 1_024), (880, 16_384), (14_000, 262_144))
+FORGET = 40.0  # exp(-40) is below double precision
 
 
 @dataclass(frozen=True)
@@ -76,65 +77,59 @@ def _input(e: Ema, x: Column) -> Column:
     return F.when((n >= e.start) & x.isNotNull(), b).otherwise(0.0)
 
 
+def reach(e: Ema) -> int:
+    """Bars before a chunk that still matter to it."""
+    return math.ceil(FORGET / -math.log(e.decay)) + e.last_seed + 1
+
+
+def _block(e: Ema) -> int:
+    effective = 2 / e.alpha - 1
+    for longest, size in BLOCKS:
+        if effective <= longest:
+            return size
+    raise ValueError(f"span {e.span} is too long")
+
+
 def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
     """Add the exponential averages to a panel made with ``scans=True``.
 
-    Inputs are non-null from ``start`` on.
+    Inputs are non-null from ``start`` on. Copied bars at the head of a chunk are warm-up
+    and only settle towards the home bars.
     """
     lay = layout(df)
-    size, reach_back, reach_on = lay["size"], lay["back"], lay["ahead"]
-    if size % BLOCK or reach_back % BLOCK:
-        raise ValueError("scan needs a panel with scans=True and a chunk size that is a multiple of the block")
-    terms: dict[str, tuple[Ema, Column]] = {}
+    need = max(reach(e) for e in emas)
+    if lay["back"] < need:
+        raise ValueError(f"the panel must copy at least {need} bars back (scans=True copies enough for spans up to 200)")
+    terms: dict[str, tuple[Ema, Column, int]] = {}
     for e in emas:
-        # powers must not overflow inside a block
-        if -BLOCK * math.log(e.decay) > 650:
-            raise ValueError(f"block too long for span {e.span}")
-        terms[e.name] = (e, _input(e, F.col(e.x)))
+        terms[e.name] = (e, _input(e, F.col(e.x)), _block(e))
         if e.seed == "weighted":
-            terms[f"{e.name}__w"] = (e, F.when(F.col(NO) >= e.start, 1.0).otherwise(0.0))
-    df = df.withColumn("_blk", F.floor(F.col(NO) / BLOCK))
-
-    last = (F.col("_blk") + 1) * BLOCK - 1
-    sums = [F.sum(b * F.pow(F.lit(e.decay), _exponent(last, e) - _exponent(F.col(NO), e))).alias(k) for k, (e, b) in terms.items()]
-    maps = df.filter(~F.col(COPY)).groupBy(KEY, "_blk").agg(*sums)
-
-    # the block table is a panel of its own: position = block number
-    reach = max(math.ceil((DEAD / -math.log(e.decay) + e.last_seed + 1) / BLOCK) + 1 for e, _ in terms.values())
-    table = spread(maps.withColumnRenamed("_blk", NO), back=reach)
-    before = Window.partitionBy(KEY, CHUNK).orderBy(NO).rowsBetween(-reach, -1)
-    table = table.withColumn("_hist", F.collect_list(F.struct(NO, *terms)).over(before)).filter(~F.col(COPY))
-
-    def fold(k: str, e: Ema) -> Column:
-        def step(acc, m):
-            lo, hi = m[NO] * BLOCK - 1, (m[NO] + 1) * BLOCK - 1
-            return acc * F.pow(F.lit(e.decay), _exponent(hi, e) - _exponent(lo, e)) + m[k]
-
-        return F.aggregate("_hist", F.lit(0.0), step)
-
-    # the carries of all blocks of a chunk (copies included) travel as one small map,
-    # so the join uses the (symbol, chunk) partitioning the panel already has
-    at = F.col(NO) * BLOCK
-    chunks = F.sequence(F.greatest(F.floor((at - reach_on) / size), F.lit(0)), F.floor((at + reach_back) / size))
-    table = table.select(KEY, NO, *[fold(k, e).alias(k) for k, (e, _) in terms.items()])
-    entry = F.struct(F.col(NO).alias("_blk"), F.struct(*terms).alias("c"))
-    carries = table.select(KEY, entry.alias("_e"), F.explode(chunks).alias(CHUNK)).groupBy(KEY, CHUNK).agg(F.map_from_entries(F.collect_list("_e")).alias("_carry"))
-
-    w = Window.partitionBy(KEY, CHUNK, "_blk").orderBy(NO).rowsBetween(Window.unboundedPreceding, 0)
-    base = F.col("_blk") * BLOCK - 1
-    df = df.withColumns({f"_s_{k}": F.sum(b * F.pow(F.lit(e.decay), _exponent(base, e) - _exponent(F.col(NO), e))).over(w) for k, (e, b) in terms.items()})
-    df = df.join(carries, [KEY, CHUNK], "left").withColumn("_carry", F.try_element_at("_carry", F.col("_blk")))
-
-    def value(k, e):
-        return F.pow(F.lit(e.decay), _exponent(F.col(NO), e) - _exponent(base, e)) * (F.coalesce(F.col("_carry")[k], F.lit(0.0)) + F.col(f"_s_{k}"))
+            terms[f"{e.name}__w"] = (e, F.when(F.col(NO) >= e.start, 1.0).otherwise(0.0), _block(e))
+    n = F.col(NO)
+    sizes = sorted({size for _, _, size in terms.values()})
+    df = df.withColumns({f"_blk{size}": F.floor(n / size) for size in sizes})
+
+    def since(e: Ema, size: int) -> Column:
+        """How often the factor applied since the start of the block."""
+        return _exponent(n, e) - _exponent(F.col(f"_blk{size}") * size - 1, e)
+
+    for size in sizes:
+        w = Window.partitionBy(KEY, CHUNK, f"_blk{size}").orderBy(NO).rowsBetween(Window.unboundedPreceding, 0)
+        local = {k: F.pow(F.lit(e.decay), since(e, size)) * F.sum(b * F.pow(F.lit(e.decay), -since(e, size))).over(w) for k, (e, b, s) in terms.items() if s == size}
+        df = df.withColumns({f"_y_{k}": v for k, v in local.items()})
+    before = series().rowsBetween(Window.unboundedPreceding, -1)
+    carry = {k: F.last(F.when(n % size == size - 1, F.col(f"_y_{k}")), ignorenulls=True).over(before) for k, (_, _, size) in terms.items()}
+    df = df.withColumns({f"_c_{k}": v for k, v in carry.items()})
+
+    def value(k: str) -> Column:
+        e, _, size = terms[k]
+        return F.col(f"_y_{k}") + F.pow(F.lit(e.decay), since(e, size)) * F.coalesce(F.col(f"_c_{k}"), F.lit(0.0))
 
     out = {}
     for e in emas:
-        y = value(e.name, e)
-        if e.seed == "weighted":
-            y = ratio(y, value(f"{e.name}__w", e))
-        out[e.name] = F.when(F.col(NO) >= (e.last_seed if e.seed == "mean" else e.start), y)
-    return df.withColumns(out).drop("_blk", "_carry", *[f"_s_{k}" for k in terms])
+        y = ratio(value(e.name), value(f"{e.name}__w")) if e.seed == "weighted" else value(e.name)
+        out[e.name] = F.when(n >= (e.last_seed if e.seed == "mean" else e.start), y)
+    return df.withColumns(out).drop(*[f"_blk{size}" for size in sizes], *[f"_{p}_{k}" for k in terms for p in "yc"])
 
 
 # --- indicators -------------------------------------------------------------

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators.panel import CHUNK_BARS
 from tickloom.session import prepare
 from tickloom.sources.bars import build_bars
 
-SIZE = 512  # chunk size of the registered queries: small enough that series span chunks
+SIZE = CHUNK_BARS
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -232,7 +232,7 @@ def training_rows(spark, sf):
     d = price.returns(price.volume_features(d), (1, 5))
     d = d.withColumn("close_zscore", volatility.ratio(F.col("close") - volatility.sma("close", 20), volatility.rstd("close", 20)))
     d = settle(labels.threshold_target(d, 4, 0.01))
-    d = modeldata.temporal_split(d.select("symbol", "ts", "bar_no", "future_return", "target", *FEATS))
+    d = modeldata.temporal_split(d.select("symbol", "ts", "bar_no", "last_no", "future_return", "target", *FEATS))
     return materialise(d, "training")
 
 

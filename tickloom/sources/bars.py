@@ -124,7 +124,8 @@ def gaps(bars: DataFrame, interval: str) -> DataFrame:
     days = span.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_a") / day), F.floor(F.col("_b") / day))))
     lo = F.greatest(F.col("_a"), F.ceil(F.col("_d") * day / s) * s)
     hi = F.least(F.col("_b"), (F.col("_d") + 1) * day - 1)
-    grid = days.filter(lo <= hi).repartition("symbol", "_d").select("symbol", F.timestamp_seconds(F.explode(F.sequence(lo, hi, F.lit(s).cast("bigint")))).cast("timestamp_ntz").alias("ts"))
+    grid = days.filter(lo <= hi).repartition("symbol", "_d").select("symbol", F.explode(F.sequence(lo, hi, F.lit(s).cast("bigint"))).alias("_s"))
+    grid = grid.select("symbol", F.timestamp_seconds("_s").cast("timestamp_ntz").alias("ts"))
     return grid.join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
 
 
