@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.expr import change, epoch, epoch_us, flag
 from tickloom.functions.rolling import rcorr, sma
-from tickloom.operators.panel import CHUNK, COPY, KEY, NO, ahead_of, back, lagged, panel, running, series, settle
+from tickloom.operators.panel import CHUNK, COPY, KEY, NO, ahead_of, back, lagged, panel, running, series, settle, with_blocks
 from tickloom.operators.quantile import label_by_quantiles
 from tickloom.operators.scan import Ema, scan
 
@@ -89,6 +89,7 @@ def asof(left: DataFrame, right: DataFrame, columns: list[str], width_seconds: i
     rest = [c for c in left.columns if c not in (KEY, "ts")]
     le = left.select(KEY, "ts", F.struct(*rest).alias("_row") if rest else F.lit(None).alias("_row"), F.lit(1).alias("_side"))
     u = le.unionByName(r, allowMissingColumns=True).withColumns({CHUNK: F.floor(epoch("ts") / width_seconds), NO: epoch_us("ts") * 2 + F.col("_side"), COPY: F.lit(False)})
+    u = with_blocks(u)
     u = running(u, {"_last": ("last", F.col("_v"))}).filter("_side = 1")
     return u.select(KEY, "ts", *[F.col("_row")[c].alias(c) for c in rest], *[F.col("_last")[c].alias(c) for c in columns])
 

@@ -15,7 +15,7 @@ from tickloom.operators.quantile import quantiles
 from tickloom.session import materialise
 
 # Columns that are not features.
-NOT_FEATURES = ("symbol", "ts", "bar_no", "last_no", "chunk", "is_copy", "open", "high", "low", "close", "volume", "target", "position", "future_return", "future_max")
+NOT_FEATURES = ("symbol", "ts", "bar_no", "last_no", "chunk", "is_copy", "blk_16384", "blk_1024", "blk_256", "open", "high", "low", "close", "volume", "target", "position", "future_return", "future_max")
 
 
 def feature_columns(df: DataFrame, exclude=NOT_FEATURES) -> list[str]:

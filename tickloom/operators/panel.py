@@ -28,12 +28,28 @@ from tickloom.session import materialise
 
 KEY, TS, NO, LAST, CHUNK, COPY = "symbol", "ts", "bar_no", "last_no", "chunk", "is_copy"
 CHUNK_BARS = 65_536
+BLOCKS = {"blk_16384": 16_384, "blk_1024": 1_024, "blk_256": 256}  # nested
 SCAN_REACH = 4_300  # bars after which a 200-bar exponential average forgets (see scan)
 
 
 def series():
-    """Ordered window of one chunk."""
-    return Window.partitionBy(KEY, CHUNK).orderBy(NO)
+    """Ordered window of one chunk.
+
+    The nested block numbers come before bar_no: they do not change the order, but
+    windows over blocks then need the same sort, so a feature set sorts once.
+    """
+    return Window.partitionBy(KEY, CHUNK).orderBy(*BLOCKS, NO)
+
+
+def block(size: int):
+    """Ordered window of one block (of ``size`` bars) of a chunk."""
+    names = list(BLOCKS)
+    k = names.index(f"blk_{size}") + 1
+    return Window.partitionBy(KEY, CHUNK, *names[:k]).orderBy(*names[k:], NO)
+
+
+def with_blocks(df: DataFrame) -> DataFrame:
+    return df.withColumns({b: F.floor(F.col(NO) / size) for b, size in BLOCKS.items()})
 
 
 def back(n: int):
@@ -94,7 +110,7 @@ def spread(numbered: DataFrame, back: int = 0, ahead: int = 0, size: int = CHUNK
     meta = {"size": size, "back": back, "ahead": ahead}
     df = numbered.withColumn(CHUNK, chunk)
     df = df.withColumn(CHUNK, F.col(CHUNK).alias(CHUNK, metadata=meta))
-    return df.withColumn(COPY, F.col(CHUNK) != home)
+    return with_blocks(df.withColumn(COPY, F.col(CHUNK) != home))
 
 
 def layout(df: DataFrame) -> dict:
@@ -107,7 +123,7 @@ def panel(bars, back=0, ahead=0, interval="1h", size=CHUNK_BARS, scans=False) ->
 
 def settle(df: DataFrame) -> DataFrame:
     """Drop the copied bars and the chunk columns."""
-    return df.filter(~F.col(COPY)).drop(CHUNK, COPY)
+    return df.filter(~F.col(COPY)).drop(CHUNK, COPY, *BLOCKS)
 
 
 def respread(df: DataFrame, back=0, ahead=0, size=None, scans=False) -> DataFrame:

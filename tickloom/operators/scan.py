@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import flag, ratio
-from tickloom.operators.panel import CHUNK, KEY, NO, lagged, layout, series
+from tickloom.operators.panel import NO, block, lagged, layout, series
 
-# Block length by the longest span that may use it: span |ln d| stays within (37, 650).
-BLOCKS = ((3, 256), (50, 1_024), (880, 16_384), (14_000, 262_144))
+# Block length by the longest span that may use it: length * |ln d| stays within (37, 650).
+BLOCK_OF = ((3, 256), (50, 1_024), (880, 16_384))
 FORGET = 40.0  # exp(-40) is below double precision
 
 
@@ -84,7 +84,7 @@ def reach(e: Ema) -> int:
 
 def _block(e: Ema) -> int:
     effective = 2 / e.alpha - 1
-    for longest, size in BLOCKS:
+    for longest, size in BLOCK_OF:
         if effective <= longest:
             return size
     raise ValueError(f"span {e.span} is too long")
@@ -107,14 +107,12 @@ def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
             terms[f"{e.name}__w"] = (e, F.when(F.col(NO) >= e.start, 1.0).otherwise(0.0), _block(e))
     n = F.col(NO)
     sizes = sorted({size for _, _, size in terms.values()})
-    df = df.withColumns({f"_blk{size}": F.floor(n / size) for size in sizes})
-
     def since(e: Ema, size: int) -> Column:
         """How often the factor applied since the start of the block."""
-        return _exponent(n, e) - _exponent(F.col(f"_blk{size}") * size - 1, e)
+        return _exponent(n, e) - _exponent(F.col(f"blk_{size}") * size - 1, e)
 
     for size in sizes:
-        w = Window.partitionBy(KEY, CHUNK, f"_blk{size}").orderBy(NO).rowsBetween(Window.unboundedPreceding, 0)
+        w = block(size).rowsBetween(Window.unboundedPreceding, 0)
         local = {k: F.pow(F.lit(e.decay), since(e, size)) * F.sum(b * F.pow(F.lit(e.decay), -since(e, size))).over(w) for k, (e, b, s) in terms.items() if s == size}
         df = df.withColumns({f"_y_{k}": v for k, v in local.items()})
     before = series().rowsBetween(Window.unboundedPreceding, -1)
@@ -129,7 +127,7 @@ def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
     for e in emas:
         y = ratio(value(e.name), value(f"{e.name}__w")) if e.seed == "weighted" else value(e.name)
         out[e.name] = F.when(n >= (e.last_seed if e.seed == "mean" else e.start), y)
-    return df.withColumns(out).drop(*[f"_blk{size}" for size in sizes], *[f"_{p}_{k}" for k in terms for p in "yc"])
+    return df.withColumns(out).drop(*[f"_{p}_{k}" for k in terms for p in "yc"])
 
 
 # --- indicators -------------------------------------------------------------
