@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import candles, cross, regime, scan
 from tickloom.operators.panel import panel, settle
-from tickloom.plans.datasets import SIZE, event_bars, finish, order_bars, supply_bars
+from tickloom.plans.datasets import SIZE, event_bars, finish, order_bars, supply_bars, table
 from tickloom.plans.feature_queries import _tr, ev, sup
 from tickloom.plans.registry import query
 from tickloom.plans.sql import B, EVENT, ORDERS, SUPPLY, R, Sql, chg, div, ema, flag, lag, lead, lst, rank, roll
@@ -239,7 +239,7 @@ def q_rollup(spark, sf):
     return finish(d, "avg_correlation", "market_leadership", "correlation_risk", *CR.split())
 
 
-_HI = EVENT.replace("b AS", "h AS").replace("date_trunc('hour', ts)", "time_bucket(INTERVAL 4 hours, ts, TIMESTAMP '1970-01-01')")
+
 
 
 @query(
@@ -296,9 +296,17 @@ _CC = ["o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     + ") SELECT a, b, round(corr * 1.00000000001::DOUBLE, 6) + 0 AS corr, CAST(abs(corr) > 0.8 AS INTEGER) AS high FROM c",
 )
 def q_columns(spark, sf):
-    from tickloom.plans.datasets import table
-
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     t = li.join(o, li.l_orderkey == o.o_orderkey).select(*_CC)
     d = cross.column_correlations(t, _CC).withColumn("high", (F.abs("corr") > 0.8).cast("int"))
     return finish(d, "corr", "high", keys=("a", "b"))
+
+
+@query(
+    "score_market_join",
+    "WITH " + SUPPLY + ", u AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts, avg(l_discount) AS score FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT symbol, ts, round(score * 1.00000000001::DOUBLE, 6) + 0 AS score, round(b.close * 1.00000000001::DOUBLE, 6) + 0 AS close, b.volume FROM u LEFT JOIN b USING (symbol, ts)",
+)
+def q_attach(spark, sf):
+    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    scored = li.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(F.avg("l_discount").alias("score"))
+    return finish(cross.attach_market(scored, supply_bars(spark, sf), ["close", "volume"]), "score", "close", "volume")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import change, clamp, ratio
@@ -441,10 +443,13 @@ def order_returns(spark, sf):
 _ORET = Sql(ORDERS).number().step(_r=chg("close", lag("close"))).step(ret="0.02 * CASE WHEN _r IS NOT NULL THEN greatest(-1.0, least(1.0, _r)) END").cte("SELECT symbol, ts, ret, close FROM {last}", "o")
 
 
+# The domain of o_orderpriority.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def asset_pairs(spark, sf):
-    """The pairs of order priorities (a fixed five-value domain), from the data."""
-    s = order_bars(spark, sf).select("symbol").distinct()
-    return s.select(F.col("symbol").alias("asset_a")).join(s.select(F.col("symbol").alias("asset_b")), F.expr("asset_a < asset_b"))
+    """The pairs of the five order priorities: the list a user would pass."""
+    return spark.createDataFrame(list(itertools.combinations(PRIORITIES, 2)), "asset_a string, asset_b string")
 
 
 def positions(spark, sf):
