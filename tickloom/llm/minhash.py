@@ -178,6 +178,33 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def closing_pairs(left: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may reach the threshold; loses none that does.
+
+    Prefix filter: shingles are put in one order, the rarest first. Two sets of enough
+    similarity share a shingle among the first n - ceil(share * n) + 1 of each, and from the
+    first one they share on, enough must be left in both. Copies with many changes have
+    rare shingles only in front, so they meet few others, however large their group is. Of
+    the nodes that share a shingle, those of its largest component are not compared with
+    each other, so a large component costs nothing here.
+    """
+    rare = sets.join(left.select("node"), "node").select("node", F.xxhash64("shingles").alias("part"), F.explode("shingles").alias("token"))
+    often = rare.groupBy("token").agg(F.count("*").alias("often"))
+    ordered = rare.join(often, "token").groupBy("node", "part").agg(F.sort_array(F.collect_set(F.struct("often", "token"))).alias("all"))
+    n = F.size("all")
+    front = F.slice("all", F.lit(1), n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+    front = ordered.select("node", n.alias("n"), F.posexplode(front).alias("at", "e")).where("e.often > 1").select("node", "n", "at", "e.token")
+    front = scratch.put(front.join(left, "node"), "front")
+    roots = front.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+    front = front.join(roots.where("roots > 1").select("token", F.col("most.root").alias("main")), "token")
+    other = front.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "at", "root")])
+    least = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    fits = (F.col("root") != F.col("root_2")) & (100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2"))
+    fits &= (100 + percent) * least >= percent * (F.col("n") + F.col("n_2"))
+    pairs = front.where("root <> main").join(other, "token").where(fits)
+    return pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of documents.
 
@@ -189,11 +216,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     empty one, other columns are not looked at.
 
     Equal sets are one class (its least doc_id stands for it), so copies never form pairs.
-    Members of a band's bucket are compared with one leader at a time. Members in one
-    component need no further comparison, so a large group of near copies costs a few
-    comparisons each. When the pairs left between different components of a bucket are few
-    (or leaders no longer help), all of them are compared: no pair of a bucket that could
-    still join two components is left out.
+    Members of a band's bucket are first compared with the bucket's least member alone, which
+    joins most of a large group of near copies. Where a bucket then still holds several
+    components, all pairs that could join two of them follow (``closing_pairs``).
     """
     spark = docs.sparkSession
     scratch, bands = Scratch(spark, "minhash"), n_bands(percent)
@@ -211,31 +236,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     links = scratch.put(verified(members.where("a <> b").select("a", "b").distinct(), sets, percent), "links-0")
     found = scratch.put(components(links, scratch, "cc-0"), "components-0")
-    turn = 0
-    while True:
-        turn += 1
-        placed = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("band", "b", F.coalesce("root", "b").alias("root"))
-        mixed_up = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("band")
-        open_ = scratch.put(placed.join(mixed_up, "band", "left_semi"), f"open-{turn}")
-        per = open_.groupBy("band", "root").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        n, left = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-        if not n:
-            break
-        last = left <= 20 * n or turn > 6
-        if last:
-            other = open_.select("band", F.col("b").alias("a"), F.col("root").alias("root_a"))
-            pairs = open_.join(other, "band").where("a < b and root <> root_a")
-        else:
-            pick = F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("a"), F.col("root").alias("root_a"))
-            leaders = open_.groupBy("band").agg(F.min(pick).alias("l")).select("band", "l.a", "l.root_a")
-            pairs = open_.join(leaders, "band").where("root <> root_a")
-        more = verified(pairs.select("a", "b").distinct(), sets, percent)
-        stars = found.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b")
-        links = scratch.put(stars.union(more).distinct(), f"links-{turn}")
-        found = scratch.put(components(links, scratch, f"cc-{turn}"), f"components-{turn}")
-        scratch.drop(f"links-{turn - 1}", f"components-{turn - 1}", f"open-{turn}")
-        if last:
-            break
+    placed = members.join(found.withColumnRenamed("node", "b"), "b", "left").select("band", "b", F.coalesce("root", "b").alias("root"))
+    unlike = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("z")).where("r < z").select("band")
+    left = scratch.put(placed.join(unlike, "band", "left_semi").select(F.col("b").alias("node"), "root").distinct(), "left")
+    more = scratch.put(verified(closing_pairs(left, sets, percent, scratch), sets, percent), "links-1")
+    if not more.isEmpty():
+        stars = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        found = scratch.put(components(stars.union(more), scratch, "cc-1"), "components-1")
     scratch.drop("sets", "members")
     # copies take the component of the document that stands for their class
     heads = known.groupBy("class_key").agg(F.min("doc_id").alias("node"))
