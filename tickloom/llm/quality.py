@@ -36,16 +36,18 @@ GOOD, BAD = 1, 0
 
 def measures() -> dict[str, Column]:
     """Shares the labellers look at, from the whole text _t, its words _w and their shapes _k."""
-    return {
-        "n": F.size("_w"),
-        "symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))) / F.size("_w"),
-        "loud": F.size(F.filter("_k", lambda k: k.contains("1"))) / F.size("_w"),
-        "marks": F.size(F.filter("_k", lambda k: k.rlike(r"[^\p{L}\p{N}]{2,}$"))) / F.size("_w"),
-        "same": F.size(F.filter(F.transform("_w", lambda w, i: w == F.get("_w", i - 1)), lambda e: F.coalesce(e, F.lit(False)))) / F.size("_w"),
-        "stop": F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))) / F.size("_w"),
-        "letters": F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")) / F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")),
-        "lines": F.size(F.array_distinct(F.split("_t", "\n"))) / F.size(F.split("_t", "\n")),
+    n = F.size("_w")
+    same = F.transform("_w", lambda w, i: w == F.get("_w", i - 1))
+    counts = {
+        "symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, "")), n),
+        "loud": (F.size(F.filter("_k", lambda k: k.contains("1"))), n),
+        "marks": (F.size(F.filter("_k", lambda k: k.rlike(r"[^\p{L}\p{N}]{2,}$"))), n),
+        "same": (F.size(F.filter(same, lambda e: F.coalesce(e, F.lit(False)))), n),
+        "stop": (F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))), n),
+        "letters": (F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")), F.length(F.translate("_t", " \t\n\x0b\x0c\r", ""))),
+        "lines": (F.size(F.array_distinct(F.split("_t", "\n"))), F.size(F.split("_t", "\n"))),
     }
+    return {"n": n, **{k: F.try_divide(part, whole) for k, (part, whole) in counts.items()}}
 
 
 #: Measure of each labeller, the side on which it is good, and where it votes good and bad.
