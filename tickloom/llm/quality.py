@@ -11,14 +11,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch, words_of
+from tickloom.llm.common import SPACES, words_of
 
 # Frequent words of the languages looked at.
 STOP_WORDS = (
@@ -30,7 +26,7 @@ STOP_WORDS = (
 SYMBOLS = "#*$%&|<>"
 #: Documents the scorer is trained on, at most about this many (chosen by a hash).
 TRAIN_ROWS = 6_000
-HASHED = 1 << 12
+HASHED = 1 << 10
 GOOD, BAD = 1, 0
 
 
@@ -41,10 +37,10 @@ def measures() -> dict[str, Column]:
     counts = {
         "symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, "")), n),
         "loud": (F.size(F.filter("_k", lambda k: k.contains("1"))), n),
-        "marks": (F.size(F.filter("_k", lambda k: k.rlike(r"[^\p{L}\p{N}]{2,}$"))), n),
+        "marks": (F.size(F.filter("_k", lambda k: F.length(k) > 2)), n),
         "same": (F.size(F.filter(same, lambda e: F.coalesce(e, F.lit(False)))), n),
-        "stop": (F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS))), n),
-        "letters": (F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")), F.length(F.translate("_t", " \t\n\x0b\x0c\r", ""))),
+        # different stop words, of 40 words at most: a lookup per word in a long list would cost more than all else
+        "stop": (F.size(F.array_intersect(F.split(F.lower("_t"), SPACES), F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))]))), F.least(n, F.lit(40))),
         "lines": (F.size(F.array_distinct(F.split("_t", "\n"))), F.size(F.split("_t", "\n"))),
     }
     return {"n": n, **{k: F.try_divide(part, whole) for k, (part, whole) in counts.items()}}
@@ -57,7 +53,6 @@ LABELLERS = {
     "marks": ("low", 0.05, 0.2),
     "same": ("low", 0.03, 0.2),
     "stop": ("high", 0.12, 0.04),
-    "letters": ("high", 0.9, 0.8),
     "lines": ("high", 0.9, 0.6),
 }
 
@@ -72,7 +67,7 @@ def shapes(text: Column) -> Column:
 def featured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds a struct ``_q`` of votes, pattern and hashed tokens; null if the text has no word.
 
-    Tokens: the shapes of all words, and every measure as a coarse bucket.
+    Tokens: the shapes of all words (together 1), and every measure as a coarse bucket (together 1).
     """
     t = F.coalesce(F.col(text), F.lit(""))
     names = docs.columns
@@ -80,10 +75,7 @@ def featured(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumns({f"_m_{k}": v for k, v in measures().items()})
     rows = rows.withColumns({f"_v_{k}": vote(k) for k in LABELLERS})
     buckets = [F.concat(F.lit(f"{k}:"), F.floor(F.least(F.col(f"_m_{k}"), F.lit(1.0)) * 20).cast("string")) for k in LABELLERS]
-    # a bucket weighs as much as all words together, so the two kinds balance in long texts
-    repeat = lambda b: F.array_repeat(b, F.greatest(F.lit(1), F.ceil(F.size("_k") / len(LABELLERS)).cast("int")))
-    tokens = F.concat(F.col("_k"), *[repeat(b) for b in buckets])
-    q = F.when(F.col("_m_n") > 0, F.struct(F.array(*[F.col(f"_v_{k}") for k in LABELLERS]).alias("votes"), tokens.alias("tokens")))
+    q = F.when(F.col("_m_n") > 0, F.struct(F.array(*[F.col(f"_v_{k}") for k in LABELLERS]).alias("votes"), F.col("_k").alias("shapes"), F.array(*buckets).alias("buckets")))
     return rows.select(*names, q.alias("_q"))
 
 
@@ -140,60 +132,66 @@ def weak_label(share: float, tables: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
+def slot(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(HASHED)).cast("int")
+
+
+def train(rows: DataFrame, steps: int = 400, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer from (_q, p): the bounded sample and its posteriors.
+
+    Counts of hashed tokens are summed by Spark; the driver gets one row per document of the
+    sample and different slot, and fits by gradient steps whose sizes adapt (Adam).
+    """
+    one = rows.select("p", F.xxhash64("_q.shapes", "_q.buckets").alias("id"), "_q").dropDuplicates(["id"])
+    share = lambda c: F.explode(F.transform(f"_q.{c}", lambda t: F.struct(slot(t).alias("slot"), (1 / F.size(f"_q.{c}")).alias("x"))))
+    parts = one.select("id", "p", share("shapes").alias("e")).union(one.select("id", "p", share("buckets").alias("e")))
+    found = parts.groupBy("id", "p", "e.slot").agg(F.sum("e.x").alias("x")).toPandas().sort_values(["id", "slot"])
+    if found.empty:
+        return np.zeros(HASHED), 0.0
+    ids, row = np.unique(found["id"].to_numpy(), return_inverse=True)
+    x = np.zeros((len(ids), HASHED), np.float32)
+    x[row, found["slot"].to_numpy()] = found["x"].to_numpy()
+    p = np.zeros(len(ids))
+    p[row] = found["p"].to_numpy()
+    used = x.any(0)
+    x = np.hstack([x[:, used], np.ones((len(ids), 1), np.float32)])
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(1, steps + 1):
+        g = x.T @ ((1 / (1 + np.exp(-(x @ w))) - p) / len(p)) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    weights = np.zeros(HASHED)
+    weights[used] = w[:-1]
+    return weights, float(w[-1])
+
+
+def linear_score(weights: np.ndarray, bias: float) -> Column:
+    table = F.array(*[F.lit(float(round(x, 6))) for x in weights])
+    part = lambda c: F.aggregate(f"_q.{c}", F.lit(0.0), lambda a, t: a + F.get(table, slot(t))) / F.size(f"_q.{c}")
+    return 1 / (1 + F.exp(-(part("shapes") + part("buckets") + bias)))
+
+
 def classify(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """docs and a struct ``_quality`` of weak_label, score and kept (score >= threshold).
 
     Vote patterns of all documents are counted; there are 3 ** labellers of them at most,
     whatever the input, and the driver gets these counts only. The scorer is trained on
-    about ``train_rows`` documents chosen by a hash of their text, each once as good and
-    once as bad, weighted by its posterior. Null texts and texts without a word have no
-    label, score 0, and are not kept; they take no part in the counts. Repeated rows get
-    equal results, an empty table gives an empty one. Other columns pass through, whatever
-    their names, but those that begin with ``_``.
+    about ``train_rows`` documents chosen by a hash of their text, with their posteriors as
+    labels. Null texts and texts without a word have no label, score 0, and are not kept;
+    they take no part in the counts. Repeated rows get equal results, an empty table gives
+    an empty one. Other columns pass through, whatever their names, but those that begin
+    with ``_``.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
     rows = featured(docs.select(F.col(text).alias("text"))).where("_q is not null")
-    counts = rows.groupBy("_q.votes").count().collect()
+    counts = sorted(((list(r.votes), r["count"]) for r in rows.groupBy("_q.votes").count().collect()), key=lambda r: r[0])
     if not counts:
         nothing = F.struct(F.lit(None).cast("double").alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
         return docs.withColumn("_quality", nothing)
-    counts = sorted(((list(r.votes), r["count"]) for r in counts), key=lambda r: r[0])
     share, tables = estimate(counts)
-    total = sum(c for _, c in counts)
-    part = min(1.0, train_rows / total)
+    part = min(1.0, train_rows / sum(c for _, c in counts))
     chosen = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
     chosen = featured(chosen).where("_q is not null").select("_q", weak_label(share, tables).alias("p"))
-    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight"))))
-    train = chosen.select(F.col("_q.tokens").alias("tokens"), sides.alias("s")).select("tokens", "s.*")
-    train = scratch.put(train.where("weight > 0.001"), "train")
-    stages = [
-        HashingTF(inputCol="tokens", outputCol="counts", numFeatures=HASHED),
-        Normalizer(inputCol="counts", outputCol="features"),
-        LogisticRegression(weightCol="weight", maxIter=30, regParam=1e-4, probabilityCol="probability"),
-    ]
-    if train.isEmpty():
-        score = F.when(F.col("_q").isNotNull(), weak_label(share, tables)).otherwise(0.0)
-        scored = featured(docs, text)
-    else:
-        model = Pipeline(stages=stages).fit(train)
-        scratch.drop("train")
-        return _scored(docs, text, share, tables, model, threshold)
-    return _finish(scored, docs.columns, share, tables, score, threshold)
-
-
-def _scored(docs, text, share, tables, model, threshold):
-    rows = featured(docs, text).withColumn("_in", F.coalesce("_q.tokens", F.array().cast("array<string>")))
-    tf, norm, line = model.stages
-    tf.setInputCol("_in").setOutputCol("_counts")
-    norm.setInputCol("_counts").setOutputCol("_features")
-    line.setFeaturesCol("_features").setProbabilityCol("_probability").setRawPredictionCol("").setPredictionCol("")
-    rows = line.transform(norm.transform(tf.transform(rows)))
-    score = F.when(F.col("_q").isNotNull(), vector_to_array("_probability")[1]).otherwise(0.0)
-    return _finish(rows, docs.columns, share, tables, score, threshold)
-
-
-def _finish(rows, names, share, tables, score, threshold):
-    label = F.when(F.col("_q").isNotNull(), weak_label(share, tables))
-    rows = rows.select(*names, label.alias("_label"), score.alias("_score"))
-    return rows.select(*names, F.struct(F.col("_label").alias("weak_label"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept")).alias("_quality"))
+    weights, bias = train(chosen)
+    names = docs.columns
+    scored = featured(docs, text).select(*names, F.when(F.col("_q").isNotNull(), weak_label(share, tables)).alias("_label"), F.coalesce(linear_score(weights, bias), F.lit(0.0)).alias("_score"))
+    return scored.select(*names, F.struct(F.col("_label").alias("weak_label"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept")).alias("_quality"))
