@@ -117,12 +117,17 @@ def interpolate_minority(df: DataFrame, label: str, minority, features: list[str
     for i, f in enumerate(features):
         term = F.col(f) * ((-1.0) ** i) / (i + 1)
         proj = term if proj is None else proj + term
-    d = number_rows(m.withColumn("_p", proj), ["_p", *keys], NO).withColumn("symbol", F.lit("all"))
-    d = spread(d.drop("symbol").withColumn("symbol", F.lit("all")), 0, near)
+    d = number_rows(m.withColumn("_p", proj), ["_p", *keys], NO)
+    own = "symbol" in d.columns
+    if own:  # all symbols are one series for the neighbours; the caller's column comes back below
+        d = d.withColumnRenamed("symbol", "_own_symbol")
+    d = spread(d.withColumn("symbol", F.lit("all")), 0, near)
     vec = F.array(*[F.col(f).cast("double") for f in features])
     d = d.withColumn("_v", vec)
     w = series().rowsBetween(1, near)
     d = d.withColumn("_next", F.collect_list("_v").over(w)).filter(~F.col("is_copy") & (F.size("_next") > 0))
+    if own:
+        d = d.withColumn("symbol", F.col("_own_symbol"))
 
     def dist(v):
         return F.aggregate(F.zip_with(v, F.col("_v"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
