@@ -29,6 +29,8 @@ PATTERN_RULES = [
     ("^free-bets^", "block"),
     ("^poker^*.exe", "block"),
 ]
+#: Up to so many rules are broadcast (their number is counted); beyond, Spark joins them by shuffles.
+BROADCAST_RULES = 20_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -62,10 +64,15 @@ def url_tokens(subject: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.split(ascii_lower(subject), "[^0-9a-z]+")))
 
 
+def sized(side: DataFrame, rules: DataFrame) -> DataFrame:
+    """side, broadcast if there are few enough rules."""
+    return F.broadcast(side) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else side
+
+
 def token_index(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per rule under the token that the fewest different urls have (ties: by name)."""
     wanted = rules.select("rule", "tier", F.explode(F.array_distinct("tokens")).alias("token"))
-    seen = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    seen = tokens.select("token").join(sized(wanted.select("token").distinct(), rules), "token", "left_semi").groupBy("token").count()
     rarest = (
         wanted.join(seen, "token", "left")
         .groupBy("rule", "tier")
@@ -82,7 +89,8 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, url: str = "url", ke
     and urls without ``://`` (host and path empty). Repeated rows stay, an empty table gives
     an empty result, other columns are not looked at.
 
-    Each different (host, path) is judged once, so a url that fills a third of the table is
+    Few rules (counted, at most BROADCAST_RULES) go to the tokens; many are joined by
+    shuffles. Each different (host, path) is judged once, so a url that fills a third of the table is
     one row here; when verdicts go back to the pages, Spark may split the skewed side.
     """
     spark = pages.sparkSession
@@ -92,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, url: str = "url", ke
     targets = rows.select("host", "path").where("host <> '' or path <> ''").distinct()
     tokens = targets.select("host", "path", F.explode(url_tokens(F.concat("host", "path"))).alias("token"))
     fits = (
-        tokens.join(token_index(tokens, ready), "token")
+        tokens.join(sized(token_index(tokens, ready), ready), "token")
         .where(F.expr("regexp_like(concat(host, path), regex)"))
         .groupBy("host", "path")
         .agg(F.max(F.struct("tier", F.length("rule").alias("len"), "rule", "verdict")).alias("won"))
