@@ -12,8 +12,13 @@ PII_KEY = "key-of-the-registered-pipeline"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; null texts and texts without a word go."""
-    return quality.classify(docs).where("_quality.kept").select(*docs.columns)
+    """Documents that the classifier keeps; null texts and texts without a word go.
+
+    The observed counts stand between verdict and filter: else Spark copies the whole
+    scoring expression into the filter, once for each mention of a step below.
+    """
+    judged = quality.classify(docs).observe("quality_classifier", F.count(F.lit(1)).alias("seen"), F.count_if("_quality.kept").alias("kept"))
+    return judged.where("_quality.kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
