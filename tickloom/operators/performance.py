@@ -66,10 +66,12 @@ def by_month(df: DataFrame, r="ret", keys=("symbol",)) -> DataFrame:
     return df.groupBy(*keys, month).agg(F.sum(r).alias("sum_return"), product(F.col(r)).alias("month_return"))
 
 
-def month_matrix(df: DataFrame, years: list[int], r="ret") -> DataFrame:
-    """Month by year table of compounded returns; years are given, so no extra pass."""
-    d = df.withColumns({"_y": F.year("ts"), "month": F.month("ts")})
-    return d.groupBy("month").pivot("_y", years).agg(product(F.col(r)))
+def month_matrix(df: DataFrame, years: list[int], r="ret", keys=("symbol",)) -> DataFrame:
+    """Month by year table of compounded returns of each series; a row of a year that is not given is an error."""
+    y = F.year("ts")
+    known = F.when(y.isNull() | y.isin(years), y).otherwise(F.raise_error(F.concat(F.lit("year not asked for: "), y)))
+    d = df.withColumns({"_y": known, "month": F.month("ts")})
+    return d.groupBy(*keys, "month").pivot("_y", years).agg(product(F.col(r)))
 
 
 def by_hour(trades: DataFrame, ts="entry_ts") -> DataFrame:

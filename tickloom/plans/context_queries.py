@@ -304,9 +304,9 @@ def q_columns(spark, sf):
 
 @query(
     "score_market_join",
-    "WITH " + SUPPLY + ", u AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts, avg(l_discount) AS score FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT symbol, ts, round(score * 1.00000000001::DOUBLE, 6) + 0 AS score, round(b.close * 1.00000000001::DOUBLE, 6) + 0 AS close, b.volume FROM u LEFT JOIN b USING (symbol, ts)",
+    "WITH " + SUPPLY + ", u AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts, avg(l_discount) AS score FROM lineitem GROUP BY 1, 2) SELECT symbol, ts, round(score * 1.00000000001::DOUBLE, 6) + 0 AS score, round(b.close * 1.00000000001::DOUBLE, 6) + 0 AS close, b.volume FROM u LEFT JOIN b USING (symbol, ts)",
 )
 def q_attach(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    li = table(spark, sf, "lineitem")
     scored = li.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(F.avg("l_discount").alias("score"))
     return finish(cross.attach_market(scored, supply_bars(spark, sf), ["close", "volume"]), "score", "close", "volume")

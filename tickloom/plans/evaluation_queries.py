@@ -193,10 +193,12 @@ def q_histogram(spark, sf):
 
 
 def with_ret(d):
-    return d.withColumn("ret", 0.02 * clamp(change("close", lagged("close", 1)), -1.0, 1.0))
+    """Relative change; NULL where the price is lost altogether (-1 or less), as it has no logarithm."""
+    r = change("close", lagged("close", 1))
+    return d.withColumn("ret", F.when(r > -1, r))
 
 
-_RET = Sql(SUPPLY).number().step(_r=chg("close", lag("close"))).step(ret="0.02 * CASE WHEN _r IS NOT NULL THEN greatest(-1.0, least(1.0, _r)) END")
+_RET = Sql(SUPPLY).number().step(_r=chg("close", lag("close"))).step(ret="CASE WHEN _r > -1 THEN _r END")
 _EQ = _copy(_RET).step(_log=f"sum(ln(1 + coalesce(ret, 0))) {U}").step(_pk=f"max(_log) {U}").step(equity="exp(_log)", peak="exp(_pk)", drawdown="exp(_log - _pk) - 1")
 
 
@@ -255,20 +257,21 @@ def q_months(spark, sf):
     return finish(d, "sum_return", "month_return", keys=("symbol", "month"))
 
 
+#: Years of the ship dates; a row of any other year stops the query.
 YEARS = list(range(1995, 2002))
 
 
 @query(
     "month_year_matrix",
     _copy(_RET)
-    .cte("SELECT CAST(extract('month' FROM ts) AS INTEGER) AS month, " + ", ".join(f"exp(sum(CASE WHEN year(ts) = {y} THEN ln(1 + ret) END)) - 1 AS y{y}" for y in YEARS) + " FROM {last} GROUP BY 1")
-    .out(" ".join(f"y{y}" for y in YEARS), keys="month", digits=3),
+    .cte("SELECT symbol, CAST(extract('month' FROM ts) AS INTEGER) AS month, " + ", ".join(f"exp(sum(CASE WHEN year(ts) = {y} THEN ln(1 + ret) END)) - 1 AS y{y}" for y in YEARS) + " FROM {last} GROUP BY 1, 2")
+    .out(" ".join(f"y{y}" for y in YEARS), keys="symbol month", digits=3),
 )
 def q_matrix(spark, sf):
     d = settle(with_ret(sup(spark, sf, 1)))
     g = performance.month_matrix(d, YEARS)
-    g = g.select("month", *[F.col(str(y)).alias(f"y{y}") for y in YEARS])
-    return finish(g, *[f"y{y}" for y in YEARS], keys=("month",), digits=3)
+    g = g.select("symbol", "month", *[F.col(str(y)).alias(f"y{y}") for y in YEARS])
+    return finish(g, *[f"y{y}" for y in YEARS], keys=("symbol", "month"), digits=3)
 
 
 @query(
@@ -440,7 +443,7 @@ def order_returns(spark, sf):
     return settle(with_ret(d)).select("symbol", "ts", "ret", "close")
 
 
-_ORET = Sql(ORDERS).number().step(_r=chg("close", lag("close"))).step(ret="0.02 * CASE WHEN _r IS NOT NULL THEN greatest(-1.0, least(1.0, _r)) END").cte("SELECT symbol, ts, ret, close FROM {last}", "o")
+_ORET = Sql(ORDERS).number().step(_r=chg("close", lag("close"))).step(ret="CASE WHEN _r > -1 THEN _r END").cte("SELECT symbol, ts, ret, close FROM {last}", "o")
 
 
 # The domain of o_orderpriority.
@@ -609,14 +612,20 @@ def q_robust(spark, sf):
 
 
 MC = "mc_mean mc_std mc_sharpe mc_var_95 mc_var_99 mc_positive_prob"
-_BOOT = (
-    _copy(_TR)
-    .cte("SELECT symbol, min(entry_ts) AS ts, sum(pnl_pct) AS pnl FROM {last} GROUP BY 1")
-    .cte("SELECT row_number() OVER (ORDER BY ts, symbol) - 1 AS no, pnl, count(*) OVER () AS n FROM {last}", "t")
-    .cte("SELECT s.sim, CAST('0x' || substr(md5(concat('42:', s.sim, ':', d.d)), 1, 12) AS BIGINT) % (SELECT max(n) FROM t) AS no FROM (SELECT unnest(range(1000)) AS sim) s, (SELECT unnest(range((SELECT max(n) FROM t))) AS d) d", "dr")
-    .cte("SELECT sim, sum(pnl) AS total FROM dr JOIN t USING (no) GROUP BY 1", "tt")
-    .cte("SELECT avg(total) AS mc_mean, stddev_pop(total) AS mc_std, avg(total) / stddev_pop(total) AS mc_sharpe, quantile_cont(total, 0.05) AS mc_var_95, quantile_cont(total, 0.01) AS mc_var_99, avg(CAST(total > 0 AS DOUBLE)) AS mc_positive_prob, 1000 AS sims FROM tt")
-)
+
+
+def _boot_sql(q):
+    """Adds the bootstrap of the trades in q.last."""
+    return (
+        q.cte("SELECT symbol, min(entry_ts) AS ts, sum(pnl_pct) AS pnl FROM {last} GROUP BY 1")
+        .cte("SELECT row_number() OVER (ORDER BY ts, symbol) - 1 AS no, pnl, count(*) OVER () AS n FROM {last}", "t")
+        .cte("SELECT s.sim, CAST('0x' || substr(md5(concat('42:', s.sim, ':', d.d)), 1, 12) AS BIGINT) % (SELECT max(n) FROM t) AS no FROM (SELECT unnest(range(1000)) AS sim) s, (SELECT unnest(range((SELECT max(n) FROM t))) AS d) d", "dr")
+        .cte("SELECT sim, sum(pnl) AS total FROM dr JOIN t USING (no) GROUP BY 1", "tt")
+        .cte("SELECT avg(total) AS mc_mean, stddev_pop(total) AS mc_std, avg(total) / stddev_pop(total) AS mc_sharpe, quantile_cont(total, 0.05) AS mc_var_95, quantile_cont(total, 0.01) AS mc_var_99, avg(CAST(total > 0 AS DOUBLE)) AS mc_positive_prob, 1000 AS sims FROM tt", "mc")
+    )
+
+
+_BOOT = _boot_sql(_copy(_TR))
 
 
 def pooled(spark, sf):
@@ -637,15 +646,16 @@ _CSQL = {
     "drawdown_level": "drawdown_mean >= -0.3",
     "return_consistency": "return_cv <= 2",
     "win_rate_consistency": "win_rate_std <= 0.2",
-    "monte_carlo": "true",
+    "monte_carlo": "mc_positive_prob >= 0.6 AND mc_sharpe >= 0.5 AND mc_var_95 >= -0.2",
     "statistical_significance": "p_value <= 0.05",
 }
 
 
 def _vsql():
     s = _copy(_MET)
-    last = s.last
-    gs = "CASE WHEN trades_mean >= 20 AND p_value <= 0.05 THEN 0.3 * greatest(0, coalesce(1 - return_cv / 2, 0)) + 0.2 + 0.15 * greatest(0, coalesce(1 - win_rate_std / 0.2, 0)) + 0.1 * greatest(0, coalesce(1 - trades_cv / 2, 0)) + 0.15 * greatest(0, coalesce(1 - drawdown_cv / 1.0, 0)) + 0.1 * greatest(0, coalesce(1 - abs(1 - long_short_balance), 0)) ELSE 0 END"
+    metrics, s.last = s.last, _TR.last
+    last = _boot_sql(s).cte(f"SELECT * FROM {metrics}, mc").last
+    gs = f"CASE WHEN trades_mean >= 20 AND p_value <= 0.05 AND {_CSQL['monte_carlo']} THEN 0.3 * greatest(0, coalesce(1 - return_cv / 2, 0)) + 0.2 + 0.15 * greatest(0, coalesce(1 - win_rate_std / 0.2, 0)) + 0.1 * greatest(0, coalesce(1 - trades_cv / 2, 0)) + 0.15 * greatest(0, coalesce(1 - drawdown_cv / 1.0, 0)) + 0.1 * greatest(0, coalesce(1 - abs(1 - long_short_balance), 0)) ELSE 0 END"
     s.cte(" UNION ALL ".join(f"SELECT symbol, '{c}' AS criterion, CAST(coalesce({e}, false) AS INTEGER) AS passed, {gs} AS gated_score FROM {last}" for c, e in _CSQL.items()))
     return s.out("gated_score", "passed", keys="symbol criterion", digits=3)
 
@@ -653,7 +663,7 @@ def _vsql():
 @query("robustness_validation", _vsql())
 def q_validation(spark, sf):
     m = materialise(robust.run_metrics(runs(spark, sf), ["symbol"]), "metrics")
-    m = m.withColumns({"mc_positive_prob": F.lit(1.0), "mc_sharpe": F.lit(1.0), "mc_var_95": F.lit(0.0)})
+    m = m.crossJoin(F.broadcast(robust.bootstrap(pooled(spark, sf))))  # one row
     m = m.withColumn("gated_score", robust.gated_score())
     return finish(robust.validation_table(m, ["symbol", "gated_score"]), "gated_score", "passed", keys=("symbol", "criterion"), digits=3)
 
@@ -685,17 +695,16 @@ def q_windows(spark, sf):
 
 
 _WF = _three(
-    lambda q: q.cte("SELECT unnest(range(1000)) AS k", "ks")
+    lambda q: q.cte("SELECT unnest(range((SELECT max(exit_no) FROM runs) // 50 + 1)) AS k", "ks")
     .cte(
-        "SELECT r.*, k AS win, 'train' AS role FROM runs r, ks WHERE entry_no >= k * 50 AND exit_no < k * 50 + 200 AND k <= 20 UNION ALL SELECT r.*, k, 'test' FROM runs r, ks WHERE entry_no >= k * 50 + 210 AND exit_no < k * 50 + 260 AND k <= 20",
+        "SELECT r.*, k AS win, 'train' AS role FROM runs r, ks WHERE entry_no >= k * 50 AND exit_no < k * 50 + 200 UNION ALL SELECT r.*, k, 'test' FROM runs r, ks WHERE entry_no >= k * 50 + 210 AND exit_no < k * 50 + 260",
         "wf",
     )
 )
 
 
 def wf(spark, sf):
-    d = robust.walk_forward(run_scores(spark, sf), 200, 50, 10)
-    return d.filter("window <= 20")
+    return robust.walk_forward(run_scores(spark, sf), 200, 50, 10)
 
 
 _WFM = _WF.cte(f'SELECT param_id, win AS "window", role, {_ME}, avg(pnl_pct) / nullif(stddev_pop(pnl_pct), 0) AS sharpe FROM {{last}} GROUP BY 1, 2, 3', "wm")
@@ -703,8 +712,7 @@ _WFM = _WF.cte(f'SELECT param_id, win AS "window", role, {_ME}, avg(pnl_pct) / n
 
 @query("walk_forward_metrics", _copy(_WFM).out(ME + " sharpe", "trades role", keys='param_id "window"', digits=3))
 def q_wf(spark, sf):
-    d = robust.walk_forward(run_scores(spark, sf), 200, 50, 10).filter("window <= 20")
-    return finish(d, *ME.split(), "sharpe", "trades", "role", keys=("param_id", "window"), digits=3)
+    return finish(wf(spark, sf), *ME.split(), "sharpe", "trades", "role", keys=("param_id", "window"), digits=3)
 
 
 SW = "avg_test_sharpe std_test_sharpe avg_test_pnl avg_test_win_rate sharpe_ratio_test_train"
@@ -730,15 +738,22 @@ def q_sweep(spark, sf):
     return finish(d, *SW.split(), "test_trades", "is_best", *AC.split(), keys=("param_id",), digits=3)
 
 
+#: Least trades and mean profit in percent that each level of the search asks for.
+RELAXED = [(5000, 5.0), (200, 1.0), (20, 0.0), (1, -100.0)]
+
+
 @query(
     "relaxed_search",
     _three(
-        lambda q: q.cte("SELECT param_id AS level, param_id, count(*) AS trades, avg(pnl_pct) AS score FROM {last} GROUP BY 1, 2").cte("SELECT level, param_id, trades, score FROM {last} ORDER BY level, score DESC, param_id LIMIT 1").out("score", "trades", keys="level param_id")
+        lambda q: q.cte("SELECT param_id, count(*) AS trades, avg(pnl_pct) AS score FROM {last} GROUP BY 1")
+        .cte("SELECT l.level, param_id, trades, score FROM {last}, (VALUES " + ", ".join(f"({i}, {n}, {s})" for i, (n, s) in enumerate(RELAXED)) + ") l(level, n, s) WHERE trades >= n AND score >= s")
+        .cte("SELECT level, param_id, trades, score FROM {last} ORDER BY level, score DESC, param_id LIMIT 1")
+        .out("score", "trades", keys="level param_id")
     ),
 )
 def q_relaxed(spark, sf):
-    r = run_scores(spark, sf).groupBy("param_id").agg(F.count(F.lit(1)).alias("trades"), F.avg("pnl_pct").alias("score")).withColumn("level", F.col("param_id"))
-    return finish(robust.relaxed_best(r), "score", "trades", keys=("level", "param_id"))
+    r = run_scores(spark, sf).groupBy("param_id").agg(F.count(F.lit(1)).alias("trades"), F.avg("pnl_pct").alias("score"))
+    return finish(robust.relaxed_best(robust.at_levels(r, RELAXED)), "score", "trades", keys=("level", "param_id"))
 
 
 @query(

@@ -15,8 +15,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # window-heavy stages are bound by CPU: let small inputs use all cores too
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     return spark
 
 

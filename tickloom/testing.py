@@ -21,6 +21,8 @@ def local_session(cores: str | int | None = None, memory: str = "8g") -> SparkSe
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        # window-heavy stages are bound by CPU: let small inputs use all cores too
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
