@@ -126,6 +126,25 @@ def test_decontamination_against_brute_force(spark):
             assert [(f.item_id, f.distance) for f in r._found] == want
 
 
+def test_items_that_repeat_their_own_pieces_against_brute_force():
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, y, z = "what is the val", "ue of number on", "e of this table"
+    cases = [(x + y + x + z, "so it goes " * 3 + x[:7] + "q" + x[8:] + y[:7] + "q" + y[8:] + x + z + " and more")]
+    for _ in range(1500):
+        parts = [letters(15) for _ in range(2)]
+        item = "".join(rng.choice(parts) for _ in range(rng.randrange(3, 7)))
+        t = list(item)
+        for _ in range(rng.randrange(0, len(item) // 20 + 2)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[], ["x"], [t[at], "y"]])
+        cases.append((item, letters(rng.randrange(0, 60)) + rng.choice(["", parts[0]]) + "".join(t) + letters(30)))
+    for item, text in cases:
+        d = edit_distance_in(item, text)
+        want = [(7, d)] if d <= len(item) // decontam.CHARS_PER_EDIT else []
+        assert [f[:2] for f in decontam.Items([(7, item)]).search(text)] == want
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(9)
     word = lambda: rng.choice("ab") + str(rng.randrange(400))

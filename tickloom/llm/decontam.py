@@ -83,17 +83,17 @@ class Items:
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best place of each item that is in the text; start is within the budget."""
         out: dict[int, tuple] = {}
-        tried: dict[int, int] = {}  # item: end of the windows compared so far
+        tried: set[tuple[int, int]] = set()  # item and start of windows compared: equally long, one lies in another only if equal
         if not self.rows:
             return []
         for end, (length, where) in self.automaton.iter(text):
             for row, at in where:
                 item_id, item, k, masks = self.rows[row]
                 start = end + 1 - length - at
-                if row in out and out[row][1] == 0 or start + len(item) + k <= tried.get(row, -1):
+                if row in out and out[row][1] == 0 or (row, start) in tried:
                     continue  # the places that this hit allows are compared already
                 low, high = max(0, start - k), start + len(item) + k
-                tried[row] = high
+                tried.add((row, start))
                 d, stop = distance(masks, len(item), text[low:high])
                 if d <= k and (row not in out or d < out[row][1]) and (k or whole(text, low + stop - len(item), low + stop)):
                     out[row] = (item_id, d, max(0, low + stop - len(item)), low + stop)
