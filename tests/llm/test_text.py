@@ -232,6 +232,18 @@ def test_quality_against_labels(spark):
     assert kept[1] > 0.99 and kept[0] < 0.2
 
 
+def test_labellers_look_at_the_whole_text():
+    votes = lambda t, lang=None: dict(zip(quality.LABELLERS, quality.votes_of(quality.looked_at(t, lang)[0]), strict=True))
+    junk = "the of and to in " + " ".join(f"blob{i}" for i in range(500))
+    assert votes(junk)["stop"] == 0 and votes(junk, "en-US")["stop"] == 0 and votes("the cat of the house is in a box " * 30, "en")["stop"] == 1
+    assert votes("żaden pies nie lubi kota " * 5, "pl")["stop"] == votes("собака живёт дома " * 9)["stop"] == -1
+    assert votes("a1 2 3 4 (5) -- b")["letters"] == 0 and votes("plain words of letters here")["letters"] == 1
+    assert votes("don't l'eau well-known mother-in-law शब्द हिन्दी है")["marks"] == 1 and votes("the*** cat!! is")["marks"] == 0
+    assert votes("\n\n".join(f"paragraph {i} of the text" for i in range(8)))["lines"] == 1 and votes("same line\n" * 9)["lines"] == 0
+    slots = [set(quality.features(quality.looked_at(t, "en"))[0]) for t in ("alpha beta", "gamma delta")]
+    assert slots[0] != slots[1] and quality.HASHED == 4096
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.NET/en/x?q"), (2, "https://net/"), (3, "http://a.net"), (4, None), (5, "nothing"), (6, "http://x.org/fr/a#b"), (7, "http://x.org/zz/SPAM9"), (8, "http://b.example.com/de/"), (8, "http://b.example.com/de/"), (9, "http://my-casino-x.org/")]
     rules = urls.rule_table(spark, patterns=[("SPAM*", "block"), ("^casino-*", "block")])

@@ -8,43 +8,36 @@ features; the scorer judges every document.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Callable
 from functools import reduce
+from operator import eq
 
 import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import SPACES, words_of
+from tickloom.llm.common import SPACES
 
-# Frequent words of the languages looked at.
-STOP_WORDS = (
-    "the of and to in a is that it was for on are with as be this by at from or an not have "
-    "le la les de des un une et en que qui dans est pour sur au par pas avec il ce "
-    "der die das und ist den von zu mit sich ein eine auf für als nicht im dem auch "
-    "el los las del y por con para su al lo como más no se una es"
-).split()
+# Frequent words by language.
+STOP_WORDS = {
+    "en": frozenset("the of and to in a is that it was for on are with as be this by at from or an not have".split()),
+    "fr": frozenset("le la les de des un une et en que qui dans est pour sur au par pas avec il ce".split()),
+    "de": frozenset("der die das und ist den von zu mit sich ein eine auf für als nicht im dem auch".split()),
+    "es": frozenset("de la que el en y a los se del las un por con no una su para es al lo como más".split()),
+}
+LISTS = list(STOP_WORDS)
+BITS = {w: sum(1 << i for i, k in enumerate(LISTS) if w in STOP_WORDS[k]) for words in STOP_WORDS.values() for w in words}
 SYMBOLS = "#*$%&|<>"
 #: Documents the scorer is trained on, at most about this many (chosen by a hash).
 TRAIN_ROWS = 6_000
-HASHED = 1 << 10
+HASHED = 1 << 12
 GOOD, BAD = 1, 0
-
-
-def measures() -> dict[str, Column]:
-    """Shares the labellers look at, from the whole text _t, its words _w and their shapes _k."""
-    n = F.size("_w")
-    same = F.transform("_w", lambda w, i: w == F.get("_w", i - 1))
-    counts = {
-        "symbols": (F.length("_t") - F.length(F.translate("_t", SYMBOLS, "")), n),
-        "loud": (F.size(F.filter("_k", lambda k: k.contains("1"))), n),
-        "marks": (F.size(F.filter("_k", lambda k: F.length(k) > 2)), n),
-        "same": (F.size(F.filter(same, lambda e: F.coalesce(e, F.lit(False)))), n),
-        # different stop words, of 40 words at most: a lookup per word in a long list would cost more than all else
-        "stop": (F.size(F.array_intersect(F.split(F.lower("_t"), SPACES), F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))]))), F.least(n, F.lit(40))),
-        "lines": (F.size(F.array_distinct(F.split("_t", "\n"))), F.size(F.split("_t", "\n"))),
-    }
-    return {"n": n, **{k: F.try_divide(part, whole) for k, (part, whole) in counts.items()}}
-
+#: Words a worker remembers, and characters of the longest one.
+REMEMBER, LONGEST = 100_000, 40
 
 #: Measure of each labeller, the side on which it is good, and where it votes good and bad.
 LABELLERS = {
@@ -53,38 +46,151 @@ LABELLERS = {
     "marks": ("low", 0.05, 0.2),
     "same": ("low", 0.03, 0.2),
     "stop": ("high", 0.12, 0.04),
+    "letters": ("high", 0.9, 0.8),
     "lines": ("high", 0.9, 0.6),
 }
 
+_words = regex.compile(SPACES.replace("[", "[^", 1)).findall
+_digits, _capitals, _letters = (regex.compile(p).sub for p in (r"\p{N}+", r"\p{Lu}{2,}", r"[\p{L}\p{M}]+"))
+_marks = regex.compile(r"[^\p{L}\p{M}\p{N}]{2,}\Z").search
+_plain = regex.compile(r"(\p{L}\p{Ll}*+)([^\p{L}\p{M}\p{N}]*+)\Z").match
+_latin, _letter = (regex.compile(p).search for p in (r"\p{Latin}", r"\p{L}"))
+
+
+def shape_of(word: str) -> str:
+    """Digit runs are 0, runs of capitals 1, other letters with their combining marks w; marks stay."""
+    return _letters("w", _capitals("1", _digits("0", word)))
+
+
+def slot(kind: str, token: str) -> int:
+    return zlib.crc32(f"{kind}:{token}".encode("utf-8", "replace")) % HASHED
+
+
+PLAIN = slot("shape", "w")
+NO_SYMBOLS = str.maketrans("", "", SYMBOLS)
+
+
+class Known(dict):
+    """What measures and features ask of a word; short words are remembered, up to a bound.
+
+    Slots of word and shape, loud, ends in marks, symbols, letters, bits of the stop lists
+    that have it, and 1 for Latin letters, -1 for others only, 0 for none.
+    """
+
+    def __missing__(self, word: str) -> tuple:
+        low = word.lower()
+        at, lists = slot("word", low), BITS.get(low, 0)
+        plain = _plain(word)
+        if plain:  # what the patterns below say of most words: letters, at most the first a capital, and marks after them
+            n, tail = plain.end(1), plain[2]
+            found = (at, slot("shape", "w" + tail) if tail else PLAIN, False, len(tail) > 1, len(tail) - len(tail.translate(NO_SYMBOLS)) if tail else 0, n, lists, 1 if word.isascii() or _latin(word) else -1)
+        else:
+            shape = shape_of(word)
+            script = 1 if _latin(word) else -1 if _letter(word) else 0
+            symbols = len(word) - len(word.translate(NO_SYMBOLS))
+            found = (at, slot("shape", shape), "1" in shape, _marks(word) is not None, symbols, len(word) - len(_letters("", word)), lists, script)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = found
+        return found
+
 
-def shapes(text: Column) -> Column:
-    """Text whose digit runs are 0, runs of capitals 1, other letters w; marks stay."""
-    text = F.regexp_replace(text, r"\p{N}+", "0")
-    text = F.regexp_replace(text, r"\p{Lu}{2,}", "1")
-    return F.regexp_replace(text, r"\p{L}+", "w")
+_KNOWN = Known()
 
 
-def featured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a struct ``_q`` of votes, pattern and hashed tokens; null if the text has no word.
+def stop_share(by_lists: dict[int, int], n: int, latin: int, lang: str | None) -> float | None:
+    """Share of stop words among all words, by the list of the language; None where no list fits.
 
-    Tokens: the shapes of all words (together 1), and every measure as a coarse bucket (together 1).
+    Without a known language it is the best list's share, if most words with letters are Latin.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    names = docs.columns
-    rows = docs.withColumn("_t", t).withColumn("_w", words_of(F.col("_t"))).withColumn("_k", words_of(shapes(F.col("_t"))))
-    rows = rows.withColumns({f"_m_{k}": v for k, v in measures().items()})
-    rows = rows.withColumns({f"_v_{k}": vote(k) for k in LABELLERS})
-    buckets = [F.concat(F.lit(f"{k}:"), F.floor(F.least(F.col(f"_m_{k}"), F.lit(1.0)) * 20).cast("string")) for k in LABELLERS]
-    q = F.when(F.col("_m_n") > 0, F.struct(F.array(*[F.col(f"_v_{k}") for k in LABELLERS]).alias("votes"), F.col("_k").alias("shapes"), F.array(*buckets).alias("buckets")))
-    return rows.select(*names, q.alias("_q"))
+    lang = regex.split("[-_]", (lang or "").strip().lower())[0]
+    shares = [sum(c for lists, c in by_lists.items() if lists >> i & 1) / n for i in range(len(LISTS))]
+    if lang in STOP_WORDS:
+        return shares[LISTS.index(lang)]
+    return max(shares) if lang in ("", "und") and latin >= 0 else None
+
+
+def looked_at(text: str | None, lang: str | None) -> tuple[dict[str, float | None], list[tuple[int, int, int]], int] | None:
+    """Measures of the whole text, (count, slot of word, slot of shape) of its different words, and its number of words."""
+    words = _words(text or "")
+    n = len(words)
+    if not n:
+        return None
+    loud = marks = symbols = letters = latin = 0
+    by_lists: dict[int, int] = {}
+    tokens = []
+    for word, c in Counter(words).items():
+        at, shape, is_loud, is_marked, has_symbols, has_letters, lists, script = _KNOWN[word]
+        tokens.append((c, at, shape))
+        loud += c * is_loud
+        marks += c * is_marked
+        symbols += c * has_symbols
+        letters += c * has_letters
+        latin += c * script
+        if lists:
+            by_lists[lists] = by_lists.get(lists, 0) + c
+    lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
+    measures = {
+        "symbols": symbols / n,
+        "loud": loud / n,
+        "marks": marks / n,
+        "same": sum(map(eq, words, words[1:])) / n,
+        "stop": stop_share(by_lists, n, latin, lang),
+        "letters": letters / sum(map(len, words)),
+        "lines": len(set(lines)) / len(lines),
+    }
+    return measures, tokens, n
 
 
-def vote(k: str) -> Column:
+def vote(k: str, x: float | None) -> int:
     """1 good, 0 bad, -1 nothing."""
+    if x is None:
+        return -1
     side, good, bad = LABELLERS[k]
-    c = F.col(f"_m_{k}")
-    better, worse = (c <= good, c >= bad) if side == "low" else (c >= good, c <= bad)
-    return F.when(better, GOOD).when(worse, BAD).otherwise(-1).cast("int")
+    better, worse = (x <= good, x >= bad) if side == "low" else (x >= good, x <= bad)
+    return GOOD if better else BAD if worse else -1
+
+
+def votes_of(measures: dict[str, float | None]) -> list[int]:
+    return [vote(k, measures[k]) for k in LABELLERS]
+
+
+def buckets_of(measures: dict[str, float | None]) -> list[int]:
+    """Slots of the measures as coarse buckets; one that abstains has a bucket of its own."""
+    return [slot(k, "none" if x is None else str(int(min(x, 1.0) * 20))) for k, x in measures.items()]
+
+
+def features(looked: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Different slots of a text and their weights: words, shapes and buckets are together 1 each."""
+    measures, tokens, n = looked
+    x: dict[int, float] = {}
+    for c, word, shape in tokens:
+        x[word] = x.get(word, 0.0) + c / n
+        x[shape] = x.get(shape, 0.0) + c / n
+    for b in buckets_of(measures):
+        x[b] = x.get(b, 0.0) + 1 / len(measures)
+    at = sorted(x)
+    return np.array(at, np.int16), np.array([x[i] for i in at], np.float32)
+
+
+def score_of(looked: tuple, weights: list[float], bias: float) -> float:
+    measures, tokens, n = looked
+    total = sum([c * (weights[word] + weights[shape]) for c, word, shape in tokens]) / n
+    total += sum([weights[b] for b in buckets_of(measures)]) / len(measures) + bias
+    return float(1 / (1 + np.exp(-total)))
+
+
+def _each(fn: Callable[[tuple], tuple], fields: list[str], types: str):
+    """Arrow function of text and language: a struct of fn's fields, all null for a text without a word."""
+    nothing = (None,) * len(fields)
+
+    @F.pandas_udf(types)
+    def each(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+        looked = [looked_at(t, g) for t, g in zip(texts, langs, strict=True)]
+        return pd.DataFrame([nothing if x is None else fn(x) for x in looked], columns=fields, dtype=object)
+
+    return each.asNondeterministic()  # else each mention of a field would run it again
 
 
 def estimate(patterns: list[tuple[list[int], int]], rounds: int = 60) -> tuple[float, np.ndarray]:
@@ -132,32 +238,26 @@ def weak_label(share: float, tables: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
-def slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(HASHED)).cast("int")
-
-
 def train(rows: DataFrame, steps: int = 400, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer from (_q, p): the bounded sample and its posteriors.
 
-    Counts of hashed tokens are summed by Spark; the driver gets one row per document of the
-    sample and different slot, and fits by gradient steps whose sizes adapt (Adam).
+    The driver gets one row per different document of the sample, of ``HASHED`` slots at
+    most, and fits by gradient steps whose sizes adapt (Adam).
     """
-    one = rows.select("p", F.xxhash64("_q.shapes", "_q.buckets").alias("id"), "_q").dropDuplicates(["id"])
-    share = lambda c: F.explode(F.transform(f"_q.{c}", lambda t: F.struct(slot(t).alias("slot"), (1 / F.size(f"_q.{c}")).alias("x"))))
-    parts = one.select("id", "p", share("shapes").alias("e")).union(one.select("id", "p", share("buckets").alias("e")))
-    found = parts.groupBy("id", "p", "e.slot").agg(F.sum("e.x").alias("x")).toPandas().sort_values(["id", "slot"])
-    if found.empty:
+    one = rows.select("p", "_q.slots", "_q.x", F.xxhash64("_q.slots", "_q.x").alias("id")).dropDuplicates(["id"])
+    found = sorted(one.collect(), key=lambda r: r.id)
+    if not found:
         return np.zeros(HASHED), 0.0
-    ids, row = np.unique(found["id"].to_numpy(), return_inverse=True)
-    x = np.zeros((len(ids), HASHED), np.float32)
-    x[row, found["slot"].to_numpy()] = found["x"].to_numpy()
-    p = np.zeros(len(ids))
-    p[row] = found["p"].to_numpy()
+    x = np.zeros((len(found), HASHED), np.float32)
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r.slots, np.int16)] = np.frombuffer(r.x, np.float32)
+    p = np.array([r.p for r in found])
+    del found
     used = x.any(0)
-    x = np.hstack([x[:, used], np.ones((len(ids), 1), np.float32)])
+    x = np.hstack([x[:, used], np.ones((len(p), 1), np.float32)])
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, steps + 1):
-        g = x.T @ ((1 / (1 + np.exp(-(x @ w))) - p) / len(p)) + decay * w
+        g = ((1 / (1 + np.exp(-(x @ w.astype(np.float32)))) - p) / len(p)).astype(np.float32) @ x + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     weights = np.zeros(HASHED)
@@ -165,33 +265,34 @@ def train(rows: DataFrame, steps: int = 400, rate: float = 0.3, decay: float = 1
     return weights, float(w[-1])
 
 
-def linear_score(weights: np.ndarray, bias: float) -> Column:
-    table = F.array(*[F.lit(float(round(x, 6))) for x in weights])
-    part = lambda c: F.aggregate(f"_q.{c}", F.lit(0.0), lambda a, t: a + F.get(table, slot(t))) / F.size(f"_q.{c}")
-    return 1 / (1 + F.exp(-(part("shapes") + part("buckets") + bias)))
-
-
-def classify(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = 0.5, lang: str = "lang") -> DataFrame:
     """docs and a struct ``_quality`` of weak_label, score and kept (score >= threshold).
 
     Vote patterns of all documents are counted; there are 3 ** labellers of them at most,
     whatever the input, and the driver gets these counts only. The scorer is trained on
     about ``train_rows`` documents chosen by a hash of their text, with their posteriors as
-    labels. Null texts and texts without a word have no label, score 0, and are not kept;
-    they take no part in the counts. Repeated rows get equal results, an empty table gives
-    an empty one. Other columns pass through, whatever their names, but those that begin
-    with ``_``.
+    labels. The column ``lang``, if docs has it, tells which list of stop words fits. Null
+    texts and texts without a word have no label, score 0, and are not kept; they take no
+    part in the counts. Repeated rows get equal results, an empty table gives an empty one.
+    Other columns pass through, whatever their names, but those that begin with ``_``.
     """
-    rows = featured(docs.select(F.col(text).alias("text"))).where("_q is not null")
+    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    votes = _each(lambda x: (votes_of(x[0]),), ["votes"], "votes array<int>")
+    rows = docs.select(votes(F.col(text), language).alias("_q")).where("_q.votes is not null")
     counts = sorted(((list(r.votes), r["count"]) for r in rows.groupBy("_q.votes").count().collect()), key=lambda r: r[0])
     if not counts:
         nothing = F.struct(F.lit(None).cast("double").alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
         return docs.withColumn("_quality", nothing)
     share, tables = estimate(counts)
     part = min(1.0, train_rows / sum(c for _, c in counts))
-    chosen = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
-    chosen = featured(chosen).where("_q is not null").select("_q", weak_label(share, tables).alias("p"))
+    chosen = docs.select(F.col(text).alias("text"), language.alias("lang")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
+    sample = _each(lambda x: (votes_of(x[0]), *(a.tobytes() for a in features(x))), ["votes", "slots", "x"], "votes array<int>, slots binary, x binary")
+    chosen = chosen.select(sample("text", "lang").alias("_q")).where("_q.votes is not null").select("_q", weak_label(share, tables).alias("p"))
     weights, bias = train(chosen)
-    names = docs.columns
-    scored = featured(docs, text).select(*names, F.when(F.col("_q").isNotNull(), weak_label(share, tables)).alias("_label"), F.coalesce(linear_score(weights, bias), F.lit(0.0)).alias("_score"))
+    listed = weights.tolist()
+    judge = _each(lambda x: (votes_of(x[0]), score_of(x, listed, bias)), ["votes", "score"], "votes array<int>, score double")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    scored = docs.select(*names, judge(F.col(text), language).alias("_q"))
+    label = F.when(F.col("_q.votes").isNotNull(), weak_label(share, tables))
+    scored = scored.select(*names, label.alias("_label"), F.coalesce("_q.score", F.lit(0.0)).alias("_score"))
     return scored.select(*names, F.struct(F.col("_label").alias("weak_label"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept")).alias("_quality"))
