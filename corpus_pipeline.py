@@ -22,14 +22,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the least doc_id; five words, similarity 0.8.
+    """One row of each group of exact or near copies, whatever the ids; five words, similarity 0.8.
 
-    Rows that share a doc_id are one document, of which one row stays; rows without a doc_id
-    all stay.
+    Rows are told apart by doc_id and text, so different texts under one id are judged each
+    for itself. The least doc_id stays, rows without an id come after all others, then the
+    text's hash decides; rows equal in both, with words or without, are one, of which the
+    least by the other columns stays.
     """
-    gone = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where("not kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    node = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.col("text").isNull().alias("null"))
+    keyed = docs.withColumn("_node", node)
+    judged = minhash.near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text"), k=5, percent=80)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_node")).distinct()
+    others = [c for c in docs.columns if c != "text"]
+    one = keyed.join(gone, "_node", "left_anti").groupBy("_node").agg(F.min(F.struct(*others, "text")).alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

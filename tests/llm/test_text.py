@@ -167,6 +167,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.n_shingles for r in got} == {d: len(s) for d, s in sets.items()}
 
 
+def test_pipeline_judges_copies_by_row(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a"), "x"), (2, text("a") + " more", "x"), (2, text("b"), "x"), (3, text("c"), "z"), (3, text("c"), "y"),
+            (None, text("d"), "x"), (None, text("d"), "w"), (None, text("a"), "x"), (None, text("e"), "x"), (4, text("f"), "x"), (4, text("g"), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for frame in (docs, docs.repartition(3, "source")):
+        got = corpus_pipeline.near_duplicates(spark, frame, SF)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text[0], r.source) for r in got.collect()) == [(0, "d", "w"), (0, "e", "x"), (1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "f", "x"), (4, "g", "x")]
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     text = " ".join(f"w{i}é" for i in range(5000))
     whole = minhash.shingle_hashes(text, 3)
