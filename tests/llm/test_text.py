@@ -213,6 +213,14 @@ def test_collisions_are_drawn_again(spark, tmp_path):
     assert len(got) == len({r.surrogate for r in got}) == len({r.value for r in got}) == 3000
 
 
+def test_short_mailboxes_grow_when_their_domain_is_used_up(spark):
+    from tickloom.llm.common import Scratch
+
+    boxes = spark.createDataFrame([("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyzéèüöä"], "kind string, value string")
+    got = [r.surrogate for r in pii.surrogates(boxes, "k", Scratch(spark, "t")).collect()]
+    assert len(got) == len(set(got)) == 31 and all(g.count("@") == 1 and g.endswith(".org") for g in got)
+
+
 def test_hilbert_curve_and_shards(spark):
     axes = np.array(list(itertools.product(range(8), repeat=3)))
     order = axes[np.argsort(hilbert.curve_index(axes, 3))]

@@ -151,10 +151,11 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     # a domain has one surrogate for all addresses; its last label stays
     domain = F.expr("substr(value, instr(value, '@') + 1)")
     labels = _redrawn(F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256))
-    email = F.concat(F.expr("substr(_new, 1, instr(value, '@'))"), labels, F.lit("."), F.regexp_extract(domain, r"([^.]+)$", 1))
-    octet = lambda i, low, n: (F.pmod(F.xxhash64("_seed", F.lit(i)), F.lit(n)) + low).cast("string")
-    # more parts as tries go on, so the supply of names never ends
+    # more parts as tries go on, so the supply of names and mailboxes never ends
     longer = F.floor(F.col("tries") / 3).cast("int")
+    more = F.when(longer > 0, _joined(_by_script({s: list(v) for s, v in SCRIPT_LETTERS.items()}), 40, longer)).otherwise("")
+    email = F.concat(F.expr("substr(_new, 1, instr(value, '@') - 1)"), more, F.lit("@"), labels, F.lit("."), F.regexp_extract(domain, r"([^.]+)$", 1))
+    octet = lambda i, low, n: (F.pmod(F.xxhash64("_seed", F.lit(i)), F.lit(n)) + low).cast("string")
     either = {s: g["m"] + g["f"] for s, g in GIVEN.items()}
     given = lambda options: F.lower(_joined(_by_script(options), 20, longer + 1, "-"))
     return rows.select(
@@ -181,7 +182,7 @@ def surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """
     now = scratch.put(entities.where("kind <> 'number'").select("kind", "value", F.lit(0).alias("tries")), "draw-0")
     values = now.select("kind", F.col("value").alias("surrogate"))
-    settled, i = None, 0
+    settled, i, stalled = None, 0, 0
     while True:
         tried = scratch.put(drawn(now, key), f"tried-{i}")
         taken = values if settled is None else values.union(settled.select("kind", "surrogate"))
@@ -192,8 +193,9 @@ def surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         now = scratch.put(now.join(winners, ["kind", "value"], "left_anti").select("kind", "value", (F.col("tries") + 1).alias("tries")), f"draw-{i}")
         if now.isEmpty():
             return settled
-        if i > TRIES:
-            raise ValueError(f"no free surrogates after {TRIES} tries")
+        stalled = stalled + 1 if winners.isEmpty() else 0
+        if stalled >= TRIES:  # a format of fixed length (phone, ssn) whose values are used up
+            raise ValueError(f"no free surrogates in {TRIES} tries that settled nothing")
 
 
 def _like(mention: Column, letters: Column) -> Column:
