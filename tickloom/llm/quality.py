@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable
 from functools import reduce
 from operator import eq
 
@@ -19,8 +18,9 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.llm.common import SPACES
+from tickloom.llm.common import SPACES, Scratch
 
 # Frequent words by language.
 STOP_WORDS = {
@@ -37,7 +37,7 @@ TRAIN_ROWS = 6_000
 HASHED = 1 << 12
 GOOD, BAD = 1, 0
 #: Words a worker remembers, and characters of the longest one.
-REMEMBER, LONGEST = 100_000, 40
+REMEMBER, LONGEST = 150_000, 40
 
 #: Measure of each labeller, the side on which it is good, and where it votes good and bad.
 LABELLERS = {
@@ -54,6 +54,7 @@ _words = regex.compile(SPACES.replace("[", "[^", 1)).findall
 _digits, _capitals, _letters = (regex.compile(p).sub for p in (r"\p{N}+", r"\p{Lu}{2,}", r"[\p{L}\p{M}]+"))
 _marks = regex.compile(r"[^\p{L}\p{M}\p{N}]{2,}\Z").search
 _plain = regex.compile(r"(\p{L}\p{Ll}*+)([^\p{L}\p{M}\p{N}]*+)\Z").match
+_other_space = regex.compile(r"[\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]").search
 _latin, _letter = (regex.compile(p).search for p in (r"\p{Latin}", r"\p{L}"))
 
 
@@ -67,80 +68,104 @@ def slot(kind: str, token: str) -> int:
 
 
 PLAIN = slot("shape", "w")
+TAILS = {tail: slot("shape", "w" + tail) for tail in ("", *".,:;!?")}
+IN_LISTS = [tuple(bits >> k & 1 for k in range(len(LISTS))) for bits in range(1 << len(LISTS))]
+_WORD = zlib.crc32(b"word:")
 NO_SYMBOLS = str.maketrans("", "", SYMBOLS)
 
 
-class Known(dict):
-    """What measures and features ask of a word; short words are remembered, up to a bound.
+def words_in(text: str) -> list[str]:
+    """Words parted by space, tab and line marks only; the quick split knows more white space, so it is for texts without it."""
+    return _words(text) if _other_space(text) else text.split()
 
-    Slots of word and shape, loud, ends in marks, symbols, letters, bits of the stop lists
-    that have it, and 1 for Latin letters, -1 for others only, 0 for none.
+
+class Known:
+    """What measures and features ask of a word, in rows of two arrays; bounded.
+
+    ``slots``: word, shape. ``facts``: 1 if loud, 1 if it ends in marks, symbols, letters, 1 for
+    Latin letters, -1 for others only, 0 for none, then 1 for each stop list that has it.
+    Short words keep their row until ``REMEMBER`` rows are used; all are forgotten then,
+    never within a text, so memory follows ``REMEMBER`` and the words of one text.
     """
 
-    def __missing__(self, word: str) -> tuple:
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self._make(REMEMBER)
+
+    def _make(self, n: int) -> None:
+        self.row.clear()
+        self.used, self.slots, self.facts = 0, np.zeros((n, 2), np.int16), np.zeros((n, 5 + len(LISTS)), np.int32)
+
+    def rows(self, words: Counter) -> np.ndarray:
+        if self.used + len(words) > len(self.slots):
+            self._make(max(REMEMBER, len(words)))
+        at = list(map(self.row.get, words))
+        if None in at:
+            new = [w for w, i in zip(words, at, strict=True) if i is None]
+            start, self.used = self.used, self.used + len(new)
+            looked = [self._look(w) for w in new]
+            self.slots[start : self.used] = [x[0] for x in looked]
+            self.facts[start : self.used] = [x[1] for x in looked]
+            self.row.update((w, i) for i, w in enumerate(new, start) if len(w) <= LONGEST)
+            fresh = iter(range(start, self.used))
+            at = [next(fresh) if i is None else i for i in at]
+        return np.array(at)
+
+    @staticmethod
+    def _look(word: str) -> tuple[tuple, tuple]:
         low = word.lower()
-        at, lists = slot("word", low), BITS.get(low, 0)
+        at = zlib.crc32(low.encode("utf-8", "replace"), _WORD) % HASHED
+        lists = IN_LISTS[BITS.get(low, 0)]
+        if word.isascii():
+            body, tail = (word, "") if word.isalpha() else (word[:-1], word[-1])
+            if body.isalpha() and tail in ".,:;!?" and (len(body) == 1 or body[1:].islower()):
+                return (at, TAILS[tail]), (0, 0, 0, len(body), 1, *lists)
         plain = _plain(word)
-        if plain:  # what the patterns below say of most words: letters, at most the first a capital, and marks after them
+        if plain:  # what the patterns below say of letters, at most the first a capital, and marks after them
             n, tail = plain.end(1), plain[2]
-            found = (at, slot("shape", "w" + tail) if tail else PLAIN, False, len(tail) > 1, len(tail) - len(tail.translate(NO_SYMBOLS)) if tail else 0, n, lists, 1 if word.isascii() or _latin(word) else -1)
-        else:
-            shape = shape_of(word)
-            script = 1 if _latin(word) else -1 if _letter(word) else 0
-            symbols = len(word) - len(word.translate(NO_SYMBOLS))
-            found = (at, slot("shape", shape), "1" in shape, _marks(word) is not None, symbols, len(word) - len(_letters("", word)), lists, script)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[word] = found
-        return found
+            shape = slot("shape", "w" + tail) if tail else PLAIN
+            return (at, shape), (0, len(tail) > 1, len(tail) - len(tail.translate(NO_SYMBOLS)) if tail else 0, n, 1 if word.isascii() or _latin(word) else -1, *lists)
+        form = shape_of(word)
+        script = 1 if _latin(word) else -1 if _letter(word) else 0
+        symbols = len(word) - len(word.translate(NO_SYMBOLS))
+        return (at, slot("shape", form)), ("1" in form, _marks(word) is not None, symbols, len(word) - len(_letters("", word)), script, *lists)
 
 
 _KNOWN = Known()
 
 
-def stop_share(by_lists: dict[int, int], n: int, latin: int, lang: str | None) -> float | None:
+def stop_share(by_list: list[float], n: int, latin: float, lang: str | None) -> float | None:
     """Share of stop words among all words, by the list of the language; None where no list fits.
 
     Without a known language it is the best list's share, if most words with letters are Latin.
     """
     lang = regex.split("[-_]", (lang or "").strip().lower())[0]
-    shares = [sum(c for lists, c in by_lists.items() if lists >> i & 1) / n for i in range(len(LISTS))]
     if lang in STOP_WORDS:
-        return shares[LISTS.index(lang)]
-    return max(shares) if lang in ("", "und") and latin >= 0 else None
+        return by_list[LISTS.index(lang)] / n
+    return max(by_list) / n if lang in ("", "und") and latin >= 0 else None
 
 
-def looked_at(text: str | None, lang: str | None) -> tuple[dict[str, float | None], list[tuple[int, int, int]], int] | None:
-    """Measures of the whole text, (count, slot of word, slot of shape) of its different words, and its number of words."""
-    words = _words(text or "")
+def looked_at(text: str | None, lang: str | None) -> tuple[dict[str, float | None], np.ndarray, np.ndarray, int] | None:
+    """Measures of the whole text, counts and slots (word, shape) of its different words, and its number of words."""
+    words = words_in(text or "")
     n = len(words)
     if not n:
         return None
-    loud = marks = symbols = letters = latin = 0
-    by_lists: dict[int, int] = {}
-    tokens = []
-    for word, c in Counter(words).items():
-        at, shape, is_loud, is_marked, has_symbols, has_letters, lists, script = _KNOWN[word]
-        tokens.append((c, at, shape))
-        loud += c * is_loud
-        marks += c * is_marked
-        symbols += c * has_symbols
-        letters += c * has_letters
-        latin += c * script
-        if lists:
-            by_lists[lists] = by_lists.get(lists, 0) + c
+    different = Counter(words)
+    counts = np.fromiter(different.values(), float, len(different))
+    rows = _KNOWN.rows(different)
+    loud, marks, symbols, letters, latin, *by_list = (counts @ _KNOWN.facts[rows]).tolist()
     lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
     measures = {
         "symbols": symbols / n,
         "loud": loud / n,
         "marks": marks / n,
         "same": sum(map(eq, words, words[1:])) / n,
-        "stop": stop_share(by_lists, n, latin, lang),
+        "stop": stop_share(by_list, n, latin, lang),
         "letters": letters / sum(map(len, words)),
         "lines": len(set(lines)) / len(lines),
     }
-    return measures, tokens, n
+    return measures, counts, _KNOWN.slots[rows], n
 
 
 def vote(k: str, x: float | None) -> int:
@@ -163,34 +188,30 @@ def buckets_of(measures: dict[str, float | None]) -> list[int]:
 
 def features(looked: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Different slots of a text and their weights: words, shapes and buckets are together 1 each."""
-    measures, tokens, n = looked
-    x: dict[int, float] = {}
-    for c, word, shape in tokens:
-        x[word] = x.get(word, 0.0) + c / n
-        x[shape] = x.get(shape, 0.0) + c / n
-    for b in buckets_of(measures):
-        x[b] = x.get(b, 0.0) + 1 / len(measures)
-    at = sorted(x)
-    return np.array(at, np.int16), np.array([x[i] for i in at], np.float32)
+    measures, counts, slots, n = looked
+    at, place = np.unique(np.concatenate([slots.ravel(), np.array(buckets_of(measures), np.int16)]), return_inverse=True)
+    each = np.concatenate([np.repeat(counts / n, 2), np.full(len(measures), 1 / len(measures))])
+    return at, np.bincount(place, each).astype(np.float32)
 
 
-def score_of(looked: tuple, weights: list[float], bias: float) -> float:
-    measures, tokens, n = looked
-    total = sum([c * (weights[word] + weights[shape]) for c, word, shape in tokens]) / n
-    total += sum([weights[b] for b in buckets_of(measures)]) / len(measures) + bias
-    return float(1 / (1 + np.exp(-total)))
+@F.pandas_udf(T.StructType().add("votes", T.ArrayType(T.IntegerType())).add("slots", T.BinaryType()).add("x", T.BinaryType()))
+def _featurised(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    """Votes and features, all null for a text without a word; a text's words are let go before the next text."""
+    made = []
+    for text, lang in zip(texts, langs, strict=True):
+        looked = looked_at(text, lang)
+        made.append((None, None, None) if looked is None else (votes_of(looked[0]), *(a.tobytes() for a in features(looked))))
+    return pd.DataFrame(made, columns=["votes", "slots", "x"], dtype=object)
 
 
-def _each(fn: Callable[[tuple], tuple], fields: list[str], types: str):
-    """Arrow function of text and language: a struct of fn's fields, all null for a text without a word."""
-    nothing = (None,) * len(fields)
+def _scorer(weights: np.ndarray, bias: float):
+    """Arrow function of stored features: the score, 0 without any."""
 
-    @F.pandas_udf(types)
-    def each(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        looked = [looked_at(t, g) for t, g in zip(texts, langs, strict=True)]
-        return pd.DataFrame([nothing if x is None else fn(x) for x in looked], columns=fields, dtype=object)
+    @F.pandas_udf(T.DoubleType())
+    def score(slots: pd.Series, xs: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if s is None else float(1 / (1 + np.exp(-(np.frombuffer(x, np.float32) @ weights[np.frombuffer(s, np.int16)] + bias)))) for s, x in zip(slots, xs, strict=True)], dtype=float)
 
-    return each.asNondeterministic()  # else each mention of a field would run it again
+    return score
 
 
 def estimate(patterns: list[tuple[list[int], int]], rounds: int = 60) -> tuple[float, np.ndarray]:
@@ -227,24 +248,23 @@ def posterior(votes: np.ndarray, share: float, tables: np.ndarray) -> np.ndarray
     return p[:, GOOD] / p.sum(1)
 
 
-def weak_label(share: float, tables: np.ndarray) -> Column:
-    """Posterior of ``_q.votes`` as an expression."""
+def weak_label(votes: Column, share: float, tables: np.ndarray) -> Column:
+    """Posterior of a document's votes as an expression."""
     odds = float(np.log(share / (1 - share)))
     terms = [F.lit(odds)]
     for k in range(len(tables)):
-        v = F.col("_q.votes")[k]
         ratio = np.log(tables[k, GOOD] / tables[k, BAD])
-        terms.append(F.when(v == -1, float(ratio[0])).when(v == BAD, float(ratio[1])).otherwise(float(ratio[2])))
+        terms.append(F.when(votes[k] == -1, float(ratio[0])).when(votes[k] == BAD, float(ratio[1])).otherwise(float(ratio[2])))
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
 def train(rows: DataFrame, steps: int = 400, rate: float = 0.3, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer from (_q, p): the bounded sample and its posteriors.
+    """Weights and bias of a logistic scorer from (f, p): the bounded sample and its posteriors.
 
     The driver gets one row per different document of the sample, of ``HASHED`` slots at
     most, and fits by gradient steps whose sizes adapt (Adam).
     """
-    one = rows.select("p", "_q.slots", "_q.x", F.xxhash64("_q.slots", "_q.x").alias("id")).dropDuplicates(["id"])
+    one = rows.select("p", "f.slots", "f.x", F.xxhash64("f.slots", "f.x").alias("id")).dropDuplicates(["id"])
     found = sorted(one.collect(), key=lambda r: r.id)
     if not found:
         return np.zeros(HASHED), 0.0
@@ -265,34 +285,32 @@ def train(rows: DataFrame, steps: int = 400, rate: float = 0.3, decay: float = 1
     return weights, float(w[-1])
 
 
-def classify(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = 0.5, lang: str = "lang") -> DataFrame:
-    """docs and a struct ``_quality`` of weak_label, score and kept (score >= threshold).
+def classify(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = 0.5, lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns ``keep``) and a struct ``_quality`` of weak_label, score and kept (score >= threshold).
 
+    Every whole text is looked at once: its votes and sparse features are stored below
+    ``spark.checkpoint.dir`` beside the columns asked for, and all later steps read those.
     Vote patterns of all documents are counted; there are 3 ** labellers of them at most,
     whatever the input, and the driver gets these counts only. The scorer is trained on
     about ``train_rows`` documents chosen by a hash of their text, with their posteriors as
     labels. The column ``lang``, if docs has it, tells which list of stop words fits. Null
     texts and texts without a word have no label, score 0, and are not kept; they take no
     part in the counts. Repeated rows get equal results, an empty table gives an empty one.
-    Other columns pass through, whatever their names, but those that begin with ``_``.
+    Other columns pass through whatever their names and types; a column ``_quality`` is replaced.
     """
-    language = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
-    votes = _each(lambda x: (votes_of(x[0]),), ["votes"], "votes array<int>")
-    rows = docs.select(votes(F.col(text), language).alias("_q")).where("_q.votes is not null")
-    counts = sorted(((list(r.votes), r["count"]) for r in rows.groupBy("_q.votes").count().collect()), key=lambda r: r[0])
+    language = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    names = [c for c in (docs.columns if keep is None else keep) if c != "_quality"]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    found = docs.select(row, F.xxhash64(f"`{text}`").alias("hash"), _featurised(F.col(f"`{text}`").cast("string"), language).alias("f"))
+    found = Scratch(docs.sparkSession, "quality").put(found, "features")
+    counts = sorted(((list(r.votes), r["count"]) for r in found.where("f.votes is not null").groupBy("f.votes").count().collect()), key=lambda r: r[0])
+    pick = [F.col("row")[c].alias(c) for c in names]
     if not counts:
-        nothing = F.struct(F.lit(None).cast("double").alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-        return docs.withColumn("_quality", nothing)
+        return found.select(*pick, F.struct(F.lit(None).cast("double").alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept")).alias("_quality"))
     share, tables = estimate(counts)
+    label = weak_label(F.col("f.votes"), share, tables)
     part = min(1.0, train_rows / sum(c for _, c in counts))
-    chosen = docs.select(F.col(text).alias("text"), language.alias("lang")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
-    sample = _each(lambda x: (votes_of(x[0]), *(a.tobytes() for a in features(x))), ["votes", "slots", "x"], "votes array<int>, slots binary, x binary")
-    chosen = chosen.select(sample("text", "lang").alias("_q")).where("_q.votes is not null").select("_q", weak_label(share, tables).alias("p"))
-    weights, bias = train(chosen)
-    listed = weights.tolist()
-    judge = _each(lambda x: (votes_of(x[0]), score_of(x, listed, bias)), ["votes", "score"], "votes array<int>, score double")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    scored = docs.select(*names, judge(F.col(text), language).alias("_q"))
-    label = F.when(F.col("_q.votes").isNotNull(), weak_label(share, tables))
-    scored = scored.select(*names, label.alias("_label"), F.coalesce("_q.score", F.lit(0.0)).alias("_score"))
-    return scored.select(*names, F.struct(F.col("_label").alias("weak_label"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept")).alias("_quality"))
+    chosen = found.where(F.col("f.votes").isNotNull() & (F.pmod("hash", F.lit(1 << 30)) < part * (1 << 30)))
+    weights, bias = train(chosen.select("f", label.alias("p")))
+    scored = found.select("row", F.when(F.col("f.votes").isNotNull(), label).alias("label"), _scorer(weights, bias)("f.slots", "f.x").alias("score"))
+    return scored.select(*pick, F.struct(F.col("label").alias("weak_label"), "score", (F.col("score") >= threshold).alias("kept")).alias("_quality"))

@@ -120,7 +120,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    rows = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     return rows.select("doc_id", F.col("_quality.weak_label").alias("weak_label"), F.col("_quality.score").alias("score"), F.col("_quality.kept").alias("kept"))
 
 
