@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, decontam, hilbert, langid, linededup, lines, minhash, pii, quality, urls
+from tickloom.llm import bpe, chat, collocations, decontam, hilbert, langid, linededup, lines, minhash, pii, quality, urls
 from tickloom.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +244,40 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = linededup.deduplicated(docs, linededup.keep_bitmaps(docs))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, w[i:i + k - 1] AS ws, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k))
+), f AS (
+  SELECT lang, array_to_string(ws, ' ') AS phrase, any_value(ws) AS ws, any_value(k) AS k, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), f2 AS (
+  SELECT lang, phrase, any_value(ws) AS ws, any_value(k) AS k, sum(f)::HUGEINT AS f FROM f GROUP BY lang, phrase
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, phrase, f, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM f2 WHERE k > 1)
+), s AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.j, x.f AS l, y.f AS r, (2000000 * c.f) // (x.f + y.f) AS score
+  FROM c JOIN f2 x ON x.lang = c.lang AND x.phrase = c.lp JOIN f2 y ON y.lang = c.lang AND y.phrase = c.rp
+), best AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), sub AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS longest
+  FROM (SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, ws, f, k, unnest(range(2, k)) AS m FROM f2 WHERE k > 2)) GROUP BY 1, 2
+), kept AS (
+  SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN sub USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
