@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, collocations, decontam, hilbert, langid, linededup, lines, minhash, pii, quality, urls
+from tickloom.llm import bpe, chat, collocations, decontam, hilbert, langid, linededup, lines, minhash, pii, quality, urls, variants
 from tickloom.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,3 +281,9 @@ FROM kept JOIN n USING (lang) WHERE rank <= 2000
 @query("op12_phrase_collocations", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), typo_every=199)
+    return variants.variants(words)
