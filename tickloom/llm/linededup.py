@@ -210,7 +210,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
 def deduplicated(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the kept text of every row of docs; null texts are empty."""
     rows = docs.select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(bitmaps.select("doc", "text_key", "n_dropped", unpacked("keep", "n_lines").alias("stay")), ["doc", "text_key"], "left")
+    # bitmaps grow with the documents: the same join at every size
+    stay = bitmaps.select("doc", "text_key", "n_dropped", unpacked("keep", "n_lines").alias("stay")).hint("merge")
+    rows = rows.join(stay, ["doc", "text_key"], "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("stay").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: F.get("stay", i)), "\n"))
     return rows.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
