@@ -27,8 +27,8 @@ _PIECES = bytes(END[0] if c in BREAKS else _LOWER.get(c, c) for c in range(256))
 MAX_WORDS, MAX_BYTES, MAX_PAIRS = 1_000_000, 24_000_000, 4_000_000
 #: Words a task counts before it passes their counts on, tokens it packs at a time, and keys a merged range aims at.
 COUNTED, BLOCK, RANGE = 200_000, 500_000, 1_000_000
-#: Bits of the key that one shuffle cuts by: more levels follow where ranges are to be smaller.
-LEVEL_BITS = 9
+#: Bits of the key that one shuffle cuts by, at most: a block gives that many filters, whatever the input; more levels follow.
+LEVEL_BITS = 6
 
 FILTERS = "lang string, range long, entries long, filter binary"
 
@@ -258,11 +258,13 @@ def phrase_counts(coded: DataFrame, sizes: tuple[int, ...], bits: int, keys: int
     """lang, l, r (packed ids) and f of all phrases of the sizes with f >= least.
 
     ``keys`` bounds the number of different phrases. Ranges of the permuted keys are as many
-    as make the last ones about RANGE keys; a shuffle cuts by LEVEL_BITS at most.
+    as make the last ones about RANGE keys; each shuffle cuts by about as many bits as the
+    others, LEVEL_BITS at most.
     """
     half = 2 * bits
     need = min(math.ceil(math.log2(keys / RANGE)) if keys > RANGE else 0, half)
-    cuts = [*range(LEVEL_BITS, need, LEVEL_BITS), need]
+    levels = max(math.ceil(need / LEVEL_BITS), 1)
+    cuts = [need * (i + 1) // levels for i in range(levels)]
     rows = coded.mapInArrow(_filters(sizes, bits, cuts[0], pairs), FILTERS)
     dealt = lambda df: df.select("lang", "range", "filter").repartition("lang", "range").sortWithinPartitions("lang", "range")
     for more in cuts[1:]:
@@ -311,11 +313,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
         raise ValueError("more than 2 ** 31 frequent words: raise least")
     coded = scratch.put(coded_texts(rows, dictionary, size.words <= max_words and size.bytes <= MAX_BYTES, scratch), "coded")
     two = scratch.put(phrase_counts(coded, (2,), bits, tokens, least), "pairs")
-    pairs, n_pairs = None, two.count()
-    if n_pairs <= max_pairs:
+    found = two.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("f"), F.lit(0)).alias("places")).first()
+    pairs, most = None, tokens
+    if found.pairs <= max_pairs:
+        most = found.places
         known = np.sort(np.array([r.l for r in two.select("l").collect()], np.uint64))
         pairs = spark.sparkContext.broadcast(known)
-    longer = scratch.put(phrase_counts(coded, (3, 4), bits, 2 * tokens, least, pairs), "longer")
+    longer = scratch.put(phrase_counts(coded, (3, 4), bits, 2 * most, least, pairs), "longer")
     scratch.drop("coded", "tokens")
 
     single = dictionary.select(F.shiftleft("id", bits).alias("l"), F.lit(0).cast("long").alias("r"), F.col("n").alias("f"))
