@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tickloom.llm.common import Scratch
+from tickloom.operators.ranking import ranked_values
 
 #: Bits a dimension is quantised to. The curve has 2 ** (BITS * dimensions) cells.
 BITS = 4
@@ -52,74 +53,79 @@ def _cell(bits: int):
     return cell
 
 
-def as_number(c: Column) -> Column:
-    """First seven bytes of a string as a number that sorts alike."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
-def quantised(df: DataFrame, dims: dict[str, Column], bits: int) -> dict[str, Column]:
-    """Rank of each value among up to 2 ** bits - 1 cut points (approximate quantiles); null is lowest.
+def size_rank(df: DataFrame, c: Column, bits: int) -> Column:
+    """Rank of a number among up to 2 ** bits - 1 cut points (approximate quantiles).
 
     The cut points (a fixed number) are read by the driver once and become literals, so a
     task that is run again places its rows alike.
     """
     n = 1 << bits
-    at = [float(i) / n for i in range(1, n)]
-    row = df.agg(*[F.percentile_approx(c, at, 10000).alias(name) for name, c in dims.items()]).first()
-    out = {}
-    for name, c in dims.items():
-        cuts = sorted(set(row[name] or []))
-        above = [F.when(c >= cut, 1).otherwise(0) for cut in cuts]
-        out[name] = sum(above, F.lit(0))
-    return out
+    cuts = sorted(set(df.agg(F.percentile_approx(c, [float(i) / n for i in range(1, n)], 10000)).first()[0] or []))
+    return sum([F.when(c >= cut, 1).otherwise(0) for cut in cuts], F.lit(0))
+
+
+def value_rank(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """``name`` and its rank: whole distinct values in order, cut into 2 ** bits parts by the rows before them.
+
+    A value that many rows share is one of the distinct values, whatever its share; they are
+    counted and cumulated by Spark, and only their ranks come back to the rows.
+    """
+    values = ranked_values(df, [], name, {"_m": F.lit(1)})
+    return values.select(name, F.expr(f"int((_m_before * {1 << bits}L) div _m_all)").alias(f"{name}_rank"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 24, bits: int = BITS, per_bucket: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, the quantised dimensions, cell, law, shard, slot, grown_shard of every row.
 
-    Dimensions: size, language, source. Rows are sorted by cell, then hash of doc_id, then
-    doc_id, size and text_crc32; runs of equal row counts (at most one apart) are the
-    shards, and slot is the place inside. Law ``rows``: with one more shard all runs move, so
-    grown_shard is null.
-
-    A cell may hold a third of all rows, so cells are split by a hash into buckets of about
-    ``per_bucket`` rows; row numbers inside a bucket are added to the counts before it. The
-    one window without a key runs over the cells: 2 ** (bits * 3) rows at most, whatever the
-    input. Null texts have 8 bytes and crc32 0, null doc_ids hash like any value, equal rows
-    take neighbouring slots, an empty table gives an empty result; other columns are not
-    looked at.
+    Dimensions: size, language, source (whole values; null is lowest). Rows are sorted by
+    cell, then hash of doc_id, size and text_crc32, then by these; runs of equal row counts
+    (at most one apart) are the shards, and slot is the place inside. Law ``rows``: with one
+    more shard all runs move, so grown_shard is null.
+
+    A cell may hold a third of all rows, so cells are split by that hash into buckets of about
+    ``per_bucket`` rows; row numbers inside a bucket are added to the counts before it. Rows
+    that are equal in all this are counted, not numbered one by one, and drawn out again at
+    the end, so a third of them may lack a doc_id or be copies. The one window without a key
+    runs over the cells: 2 ** (bits * 3) rows at most, whatever the input. Null texts have 8
+    bytes and crc32 0, equal rows take neighbouring slots, an empty table gives an empty
+    result; other columns are not looked at.
     """
+    scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        as_number(F.col("lang")).alias("_lang"),
-        as_number(F.col("source")).alias("_source"),
-    )
-    dims = quantised(rows, {"size_rank": F.col("size"), "lang_rank": F.col("_lang"), "source_rank": F.col("_source")}, bits)
-    rows = rows.select("doc_id", "size", "text_crc32", *[c.alias(name) for name, c in dims.items()])
-    rows = Scratch(docs.sparkSession, "shards").put(rows.withColumn("cell", _cell(bits)(F.array(*dims))), "rows")
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    rows = scratch.put(rows, "read")
+    dims = ["size_rank", "lang_rank", "source_rank"]
+    ranked = rows.withColumn("size_rank", size_rank(rows, F.col("size"), bits))
+    for name in ("lang", "source"):
+        ranked = ranked.join(value_rank(rows, name, bits), name, "left").withColumn(f"{name}_rank", F.coalesce(f"{name}_rank", F.lit(0)))
     total = rows.count()
     splits = 16
     while splits * per_bucket < total and splits < 1 << 20:
         splits *= 2
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(splits)))
+    key = ["doc_id", "size", "text_crc32"]
+    equal = ranked.groupBy(*key, *dims).agg(F.count("*").alias("n"))
+    equal = equal.withColumn("cell", _cell(bits)(F.array(*dims))).withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(splits)))
+    equal = scratch.put(equal, "rows")
+    scratch.drop("read")
 
-    counts = rows.groupBy("cell", "_b").count()
+    counts = equal.groupBy("cell", "_b").agg(F.sum("n").alias("count"))
     cells = counts.groupBy("cell").agg(F.sum("count").alias("n"))
     before = cells.select(F.col("cell").alias("_cell"), (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).alias("_before"))
     inside = F.sum("count").over(Window.partitionBy("cell").orderBy("_b")) - F.col("count")
     starts = counts.select(F.col("cell").alias("_cell"), F.col("_b").alias("_bucket"), inside.alias("_inside")).join(before, "_cell")
     starts = starts.select("_cell", "_bucket", (F.col("_before") + F.col("_inside")).alias("_start"))
 
-    order = Window.partitionBy("cell", "_b").orderBy("doc_id", "size", "text_crc32")
-    placed = rows.withColumn("_n", F.row_number().over(order)).join(starts, (F.col("cell") == F.col("_cell")) & (F.col("_b") == F.col("_bucket")))
-    rank = (F.col("_start") + F.col("_n") - 1).cast("long")
-    placed = placed.withColumn("_rank", rank).withColumn("shard", F.expr(f"int((_rank * {shards}) div {max(total, 1)})"))
+    order = Window.partitionBy("cell", "_b").orderBy(*key, *dims)
+    placed = equal.withColumn("_n", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    placed = placed.join(starts, (F.col("cell") == F.col("_cell")) & (F.col("_b") == F.col("_bucket"))).withColumn("_first", (F.col("_start") + F.coalesce("_n", F.lit(0))).cast("long"))
+    # copies are drawn out in steps, so no array grows with their number
+    step = 10_000
+    placed = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    placed = placed.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("_from") + step, F.col("n")) - 1)))
+    placed = placed.withColumn("_rank", F.col("_first") + F.col("_i")).withColumn("shard", F.expr(f"int((_rank * {shards}) div {max(total, 1)})"))
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
     return placed.select(
-        "doc_id", "size", "text_crc32", *dims, "cell",
+        *key, *dims, "cell",
         F.lit("rows").alias("law"), "shard", (F.col("_rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 

@@ -10,6 +10,8 @@ from tickloom.llm.common import Scratch, words_of
 # Symbols that count.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Words from which on a line is long.
+LONG_LINE = 10
 
 
 def base_columns(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
@@ -56,24 +58,27 @@ def row_key() -> list[Column]:
 
 
 def line_documents(docs: DataFrame) -> DataFrame:
-    """One row per document and different line with a letter or digit: host, line_key, words (of all its copies)."""
+    """One row per document and different line with a letter or digit: host, line_key, words (of all its copies), long."""
     rows = docs.select(*row_key(), F.coalesce("source", F.lit("")).alias("host"), F.explode(F.split("text", "\n")).alias("line"))
     rows = rows.select("doc_id", "text_key", "host", F.size(words_of(F.col("line"))).cast("long").alias("words"), normal_line(F.col("line")).alias("line"))
-    rows = rows.where("line <> ''").select("doc_id", "text_key", "host", F.xxhash64("line").alias("line_key"), "words")
-    return rows.groupBy("host", "line_key", "doc_id", "text_key").agg(F.sum("words").alias("words"))
+    rows = rows.where("line <> ''").select("doc_id", "text_key", "host", F.xxhash64("line").alias("line_key"), "words", (F.size(F.split("line", " ")) >= LONG_LINE).alias("long"))
+    return rows.groupBy("host", "line_key", "doc_id", "text_key").agg(F.sum("words").alias("words"), F.first("long").alias("long"))
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """Lines in more than ``min_docs`` documents of a host and more than ``share`` of its documents."""
+    """Lines in more than ``min_docs`` documents of a host; short ones in more than ``share`` of its documents too.
+
+    A line of ``LONG_LINE`` words or more is not met again by chance, however large the host.
+    """
     hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    often = lines.groupBy("host", "line_key").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > min_docs)
-    return often.join(hosts, "host").where(F.col("line_docs") > share * F.col("host_docs")).select("host", "line_key", "line_docs")
+    often = lines.groupBy("host", "line_key").agg(F.count("*").alias("line_docs"), F.first("long").alias("long")).where(F.col("line_docs") > min_docs)
+    return often.join(hosts, "host").where(F.col("long") | (F.col("line_docs") > share * F.col("host_docs"))).select("host", "line_key", "line_docs")
 
 
 def line_quality(docs: DataFrame, min_docs: int = 20, share: float = 0.005, least_left: float = 0.5) -> DataFrame:
     """Base columns, words_left and kept for every row of documents.
 
-    A document is depleted if lines above both limits held more than ``1 - least_left`` of
+    A document is depleted if lines above the limits (see ``frequent_lines``) held more than ``1 - least_left`` of
     its words; depleted documents and those that fail the base rules are not kept. A null
     source is the host with the empty name. Null texts have no lines; lines without letters
     or digits are never removed. Equal rows count as one document and get equal results;
@@ -102,7 +107,7 @@ def line_quality(docs: DataFrame, min_docs: int = 20, share: float = 0.005, leas
 
 
 def without_frequent_lines(docs: DataFrame, min_docs: int = 20, share: float = 0.005) -> DataFrame:
-    """doc_id and text less the lines above both limits (first copy and all others)."""
+    """doc_id and text less the lines above the limits (first copy and all others)."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.put(line_documents(docs), "lines")
     gone = (

@@ -259,3 +259,23 @@ def similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of shingle hashes."""
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs less exact and near copies; one row of each group stays, whatever the ids.
+
+    Rows are told apart by doc_id and text, so different texts under one id are judged each
+    for itself. The least doc_id stays, rows without an id come after all others, then the
+    text's hash decides; rows equal in both, with words or without, are one, of which the
+    least by the other columns stays (maps compared as JSON). Null and empty texts stay, one
+    per doc_id. Other columns pass through, whatever their names and types.
+    """
+    node = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.col("text").isNull().alias("null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(node.alias("node"), row.alias("row"))
+    judged = near_duplicates(keyed.select(F.col("node").alias("doc_id"), F.col("row")["text"].alias("text")), k=k, percent=percent)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("node")).distinct()
+    others = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields if f.name != "text"]
+    least = F.struct(F.lit(0).alias("first"), *[(F.to_json(F.struct(F.col("row")[c])) if "map<" in t else F.col("row")[c]).alias(f"o{i}") for i, (c, t) in enumerate(others)])
+    one = keyed.join(gone, "node", "left_anti").groupBy("node").agg(F.min_by("row", least).alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -190,10 +190,10 @@ WITH d AS (
     len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words
   FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS x FROM d)
 ), per AS (
-  SELECT doc_id, host, k, sum(words) AS words FROM ln WHERE k <> '' GROUP BY ALL
+  SELECT doc_id, host, k, sum(words) AS words, len(string_split(k, ' ')) >= 10 AS long FROM ln WHERE k <> '' GROUP BY ALL
 ), often AS (
   SELECT host, k FROM per JOIN (SELECT host, count(*) AS docs FROM d GROUP BY host) USING (host)
-  GROUP BY host, k, docs HAVING count(*) > 20 AND count(*) > 0.005 * docs
+  GROUP BY host, k, docs, long HAVING count(*) > 20 AND (long OR count(*) > 0.005 * docs)
 ), gone AS (
   SELECT doc_id, sum(words) AS n FROM per JOIN often USING (host, k) GROUP BY doc_id
 ), base AS (
