@@ -24,27 +24,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of exact or near copies, whatever the ids; five words, similarity 0.8.
 
-    Rows are told apart by doc_id and text, so different texts under one id are judged each
-    for itself. The least doc_id stays, rows without an id come after all others, then the
-    text's hash decides; rows equal in both, with words or without, are one, of which the
-    least by the other columns stays.
+    Null and empty texts resemble nothing but equal rows; see ``minhash.one_of_each``.
     """
-    node = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.col("text").isNull().alias("null"))
-    keyed = docs.withColumn("_node", node)
-    judged = minhash.near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text"), k=5, percent=80)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_node")).distinct()
-    others = [c for c in docs.columns if c != "text"]
-    one = keyed.join(gone, "_node", "left_anti").groupBy("_node").agg(F.min(F.struct(*others, "text")).alias("_row"))
-    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return minhash.one_of_each(docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found; null, empty and repeated texts are judged like any, none is lost otherwise."""
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("_found") == 0).select(*docs.columns)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data in their texts; n_chars follows the text."""
+    """All documents, with surrogates for personal data in their texts; n_chars follows the text. Null and empty texts stay as they are."""
     rows = pii.pseudonymised(docs, PII_KEY)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -52,7 +43,7 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the hashes that prove the round trip."""
+    """Token ids of every document, with the hashes that prove the round trip; a null text has no tokens, equal rows equal ones."""
     rows = bpe.encoded(docs.select("doc_id", "text"), with_ids=True)
     return rows.select("doc_id", "_bpe.n_tokens", "_bpe.ids", "_bpe.ids_sha256", "_bpe.decoded_sha256")
 
