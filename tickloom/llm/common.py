@@ -9,6 +9,8 @@ from tickloom.session import work_dir
 
 #: Words are separated by these white-space characters only.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch while a table is stored.
+BATCH = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,7 +25,14 @@ class Scratch:
         self.spark, self.root = spark, work_dir(spark, name)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        """Whole texts go to Python in batches of ``BATCH`` rows, so a worker's memory does not follow the default batch."""
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
