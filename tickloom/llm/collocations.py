@@ -26,9 +26,9 @@ _PIECES = bytes(END[0] if c in BREAKS else _LOWER.get(c, c) for c in range(256))
 #: Largest dictionary that is broadcast (words, their bytes) and largest set of frequent pairs.
 MAX_WORDS, MAX_BYTES, MAX_PAIRS = 1_000_000, 24_000_000, 4_000_000
 #: Words a task counts before it passes their counts on, tokens it packs at a time, and keys a merged range aims at.
-COUNTED, BLOCK, RANGE = 200_000, 500_000, 1_000_000
+COUNTED, BLOCK, RANGE = 200_000, 500_000, 2_000_000
 #: Bits of the key that one shuffle cuts by, at most: a block gives that many filters, whatever the input; more levels follow.
-LEVEL_BITS = 6
+LEVEL_BITS = 10
 
 FILTERS = "lang string, range long, entries long, filter binary"
 
@@ -245,7 +245,7 @@ def _finished(half: int, least: int):
                 held = []
             now = key
             held.append(data)
-            if len(held) >= 64:  # what is merged is sorted and short; it waits as one filter
+            if len(held) >= 256:  # what is merged is sorted and short; it waits as one filter
                 (keys, counts) = quotient.merged(held)
                 held = [quotient.to_filter(keys, counts, half, 0, 0)]
         if held:
