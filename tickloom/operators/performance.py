@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import ratio
@@ -141,6 +141,19 @@ def exposure_time(trades: DataFrame, bars: DataFrame, keys=("symbol",)) -> DataF
     return held.join(n, "symbol").withColumn("exposure_time", ratio("_held", "_bars")).drop("_held", "_bars")
 
 
+def daily_drawdown(trades: DataFrame, keys: list[str], initial: float) -> DataFrame:
+    """Worst fall of the settled equity below its peak, in percent, of all trades of a run.
+
+    Profits are added up by day of the exit first (map-side), so the running sum of a run
+    goes over one row a day, however many series and trades it has.
+    """
+    daily = trades.groupBy(*keys, F.date_trunc("day", "exit_ts").alias("_day")).agg(F.sum("pnl").alias("_pnl"))
+    w = Window.partitionBy(*keys).orderBy("_day")
+    curve = daily.withColumn("_equity", F.lit(initial) + F.sum("_pnl").over(w))
+    curve = curve.withColumn("_peak", F.greatest(F.lit(initial), F.max("_equity").over(w)))
+    return curve.groupBy(*keys).agg((100 * F.max((F.col("_peak") - F.col("_equity")) / F.col("_peak"))).alias("max_drawdown"))
+
+
 def robust_score(min_trades=10, max_dd=25.0, min_sharpe=0.5, min_pf=1.2, fail: float | None = None) -> Column:
     """2 sharpe + 1.5 profit factor + win rate - drawdown / 25 when all gates pass.
 

@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.expr import change, clamp, ratio
+from tickloom.functions.expr import change, ratio
 from tickloom.functions.rolling import rstd, sma
 from tickloom.operators import labels, performance, risk, robust, scan, trades
 from tickloom.operators.panel import lagged, panel, respread, running, settle
@@ -278,7 +278,7 @@ def q_matrix(spark, sf):
     "coded_and_weighted_equity",
     _sig(SUPPLY)
     .step(_f=chg(lead("close", 5), "close"))
-    .step(_o="CASE WHEN signal <> 0 AND _f IS NOT NULL THEN CAST(signal * _f > 0 AS INTEGER) END", _g="0.01 * CASE WHEN _f IS NOT NULL THEN greatest(-1, least(1, signal * _f)) END")
+    .step(_o="CASE WHEN signal <> 0 AND _f IS NOT NULL THEN CAST(signal * _f > 0 AS INTEGER) END", _g="0.001 * signal * _f")
     .step(_c="CASE WHEN _o = 1 THEN 0.015 WHEN _o = 0 THEN -0.01 END")
     .step(coded_equity=f"exp(sum(ln(1 + coalesce(_c, 0))) {U})", weighted_equity=f"exp(sum(ln(1 + coalesce(_g, 0))) {U})")
     .out("coded_equity weighted_equity", digits=4),
@@ -287,7 +287,7 @@ def q_coded(spark, sf):
     d = labels.forward_return(with_signal(sup(spark, sf, 10, 5)), 5)
     gain = F.col("signal") * F.col("future_return")
     outcome = F.when((F.col("signal") != 0) & F.col("future_return").isNotNull(), (gain > 0).cast("int"))
-    d = d.withColumns({"_coded": performance.payoff_returns(outcome), "_weighted": 0.01 * clamp(gain, -1.0, 1.0)})
+    d = d.withColumns({"_coded": performance.payoff_returns(outcome), "_weighted": 0.001 * gain})
     d = running(d, {"_a": ("sum", F.log1p(F.coalesce(F.col("_coded"), F.lit(0.0)))), "_b": ("sum", F.log1p(F.coalesce(F.col("_weighted"), F.lit(0.0))))})
     return finish(settle(d.withColumns({"coded_equity": F.exp("_a"), "weighted_equity": F.exp("_b")})), "coded_equity", "weighted_equity", digits=4)
 
@@ -342,18 +342,22 @@ def _three(fn):
 @query(
     "strategy_comparison_score",
     _three(
-        lambda q: q.cte(f"SELECT param_id, {_ME}, avg(pnl_pct) / nullif(stddev_pop(pnl_pct), 0) * 10 AS sharpe, 10.0 AS max_drawdown FROM {{last}} GROUP BY 1")
-        .step(robust_score="CASE WHEN trades >= 10 AND max_drawdown <= 25 AND sharpe >= -100 AND profit_factor >= 0.1 THEN 2 * sharpe + 1.5 * profit_factor + win_rate * 100 / 100 - max_drawdown / 25 END")
-        .out(ME + " sharpe robust_score", "trades", keys="param_id", digits=3)
+        lambda q: q.cte("SELECT param_id, date_trunc('day', exit_ts) AS day, sum(pnl) AS pnl FROM runs GROUP BY 1, 2", "daily")
+        .cte("SELECT param_id, day, 1000000 + sum(pnl) OVER (PARTITION BY param_id ORDER BY day) AS equity FROM daily", "curve")
+        .cte("SELECT *, greatest(1000000, max(equity) OVER (PARTITION BY param_id ORDER BY day)) AS peak FROM curve", "peaks")
+        .cte("SELECT param_id, 100 * max((peak - equity) / peak) AS max_drawdown FROM peaks GROUP BY 1", "worst")
+        .cte(f"SELECT param_id, {_ME}, avg(pnl_pct) / nullif(stddev_pop(pnl_pct), 0) * 10 AS sharpe, max(max_drawdown) AS max_drawdown FROM runs JOIN worst USING (param_id) GROUP BY 1")
+        .step(robust_score="CASE WHEN trades >= 10 AND max_drawdown <= 25 AND sharpe >= 0.5 AND profit_factor >= 1.5 THEN 2 * sharpe + 1.5 * profit_factor + win_rate * 100 / 100 - max_drawdown / 25 END")
+        .out(ME + " sharpe max_drawdown robust_score", "trades", keys="param_id", digits=3)
     ),
 )
 def q_compare(spark, sf):
     t = run_scores(spark, sf)
     s = t.groupBy("param_id").agg((ratio(F.avg("pnl_pct"), F.stddev_pop("pnl_pct")) * 10).alias("sharpe"))
-    g = performance.trade_table(t, ["param_id"]).join(s, "param_id").withColumn("max_drawdown", F.lit(10.0))
+    g = performance.trade_table(t, ["param_id"]).join(s, "param_id").join(performance.daily_drawdown(t, ["param_id"], 1_000_000.0), "param_id")
     g = g.withColumn("_w", F.col("win_rate")).withColumn("win_rate", F.col("win_rate") * 100)
-    g = g.withColumn("robust_score", performance.robust_score(10, 25.0, -100.0, 0.1)).withColumn("win_rate", F.col("_w"))
-    return finish(g, *ME.split(), "sharpe", "robust_score", "trades", keys=("param_id",), digits=3)
+    g = g.withColumn("robust_score", performance.robust_score(10, 25.0, 0.5, 1.5)).withColumn("win_rate", F.col("_w"))
+    return finish(g, *ME.split(), "sharpe", "max_drawdown", "robust_score", "trades", keys=("param_id",), digits=3)
 
 
 # --- risk -------------------------------------------------------------------
@@ -381,10 +385,10 @@ def q_risk(spark, sf):
 
 @query(
     "drawdown_breach",
-    _copy(_EQ).cte("SELECT symbol, abs(min(drawdown)) AS max_drawdown FROM {last} GROUP BY 1").step(breach="CAST(max_drawdown > 0.2 AS INTEGER)").out("max_drawdown", "breach", keys="symbol"),
+    _copy(_EQ).cte("SELECT symbol, abs(min(drawdown)) AS max_drawdown FROM {last} GROUP BY 1").step(breach="CAST(max_drawdown > 0.9996 AS INTEGER)").out("max_drawdown", "breach", keys="symbol"),
 )
 def q_breach(spark, sf):
-    return finish(risk.drawdown_breach(settle(equity(spark, sf)), ["symbol"]), "max_drawdown", "breach", keys=("symbol",))
+    return finish(risk.drawdown_breach(settle(equity(spark, sf)), ["symbol"], 0.9996), "max_drawdown", "breach", keys=("symbol",))
 
 
 SZ = "size_probability size_confidence size_stop size_volatility size_fixed stop_level take_level atr_stop_level rr_take_level stop_long take_long stop_short take_short size_corr"
@@ -504,20 +508,25 @@ EM = "total_exposure position_concentration current_drawdown max_drawdown drawdo
     "exposure_metrics",
     _copy(_ORET)
     .cte("SELECT date_trunc('quarter', ts) AS portfolio, symbol AS asset, avg(close / 1e6) AS size FROM b GROUP BY 1, 2", "p")
-    .cte("SELECT *, date_trunc('quarter', ts) AS portfolio, exp(lg - max(lg) OVER (PARTITION BY symbol ORDER BY ts)) - 1 AS drawdown FROM (SELECT *, sum(ln(1 + coalesce(ret, 0))) OVER (PARTITION BY symbol ORDER BY ts) AS lg FROM o)", "e")
-    .cte("SELECT portfolio, abs(arg_max(drawdown, ts)) AS current_drawdown, abs(min(drawdown)) AS max_drawdown FROM e WHERE symbol = '1-URGENT' GROUP BY 1", "d")
-    .cte("SELECT portfolio, sum(size) AS total_exposure, max(size) / sum(size) AS position_concentration, sum(abs(0.5 * size)) AS market_impact FROM p GROUP BY 1", "g")
+    .cte("SELECT ts, avg(ret) AS ret FROM o GROUP BY 1", "every")
+    .cte("SELECT *, date_trunc('quarter', ts) AS portfolio, exp(lg - max(lg) OVER (ORDER BY ts)) - 1 AS drawdown FROM (SELECT *, sum(ln(1 + coalesce(ret, 0))) OVER (ORDER BY ts) AS lg FROM every)", "e")
+    .cte("SELECT portfolio, abs(arg_max(drawdown, ts)) AS current_drawdown, abs(min(drawdown)) AS max_drawdown FROM e GROUP BY 1", "d")
+    .cte("SELECT x.symbol AS asset, y.symbol AS other, corr(x.ret, y.ret) AS corr FROM o x JOIN o y ON x.ts = y.ts AND x.symbol <> y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2", "c")
+    .cte("SELECT asset, avg(corr) AS corr FROM c GROUP BY 1", "m")
+    .cte("SELECT portfolio, sum(size) AS total_exposure, max(size) / sum(size) AS position_concentration, sum(abs(corr * size)) AS market_impact FROM p LEFT JOIN m USING (asset) GROUP BY 1", "g")
     .cte("SELECT g.*, d.current_drawdown, d.max_drawdown, d.max_drawdown / 0.2 AS drawdown_utilization, total_exposure AS exposure_utilization, CASE WHEN total_exposure > 1 THEN 0.1 / total_exposure ELSE 0.1 END AS size_for_exposure FROM g JOIN d USING (portfolio)")
     .out(EM, keys="portfolio"),
 )
 def q_exposure(spark, sf):
+    """The equity is that of all assets, held in equal parts; an asset's correlation is its mean with the others."""
     pos = materialise(positions(spark, sf), "positions")
-    eq = performance.equity_curve(panel(order_returns(spark, sf), 0, 0, "1d", SIZE))
-    eq = settle(eq).filter("symbol = '1-URGENT'").withColumn("portfolio", F.date_trunc("quarter", "ts").cast("timestamp_ntz"))
-    m = risk.exposure_metrics(pos, eq)
-    i = risk.market_impact(pos.withColumn("corr", F.lit(0.5)), ["portfolio"])
-    d = m.join(i, "portfolio").withColumn("size_for_exposure", risk.size_for_exposure(F.lit(0.1), "total_exposure"))
-    return finish(d, *EM.split(), keys=("portfolio",))
+    r = order_returns(spark, sf)
+    every = r.groupBy("ts").agg(F.avg("ret").alias("ret")).withColumn("symbol", F.lit("all"))
+    eq = settle(performance.equity_curve(panel(every, 0, 0, "1d", SIZE))).withColumn("portfolio", F.date_trunc("quarter", "ts").cast("timestamp_ntz"))
+    c = risk.pair_stats(r, asset_pairs(spark, sf)).select("asset_a", "asset_b", "corr")
+    c = c.union(c.select("asset_b", "asset_a", "corr")).groupBy(F.col("asset_a").alias("asset")).agg(F.avg("corr").alias("corr"))
+    d = risk.exposure_metrics(pos, eq).join(risk.market_impact(pos.join(c, "asset", "left"), ["portfolio"]), "portfolio")
+    return finish(d.withColumn("size_for_exposure", risk.size_for_exposure(F.lit(0.1), "total_exposure")), *EM.split(), keys=("portfolio",))
 
 
 _cand = "SELECT {c} AS candidate, symbol AS asset, CASE WHEN symbol = '1-URGENT' THEN 0.1 * ({c} + 1) ELSE (1 - 0.1 * ({c} + 1)) / 4 END AS weight FROM (SELECT DISTINCT symbol FROM b)"
