@@ -1,3 +1,4 @@
+import pandas as pd
 import datetime as dt
 
 import pytest
@@ -95,3 +96,24 @@ def test_tiny_frame_gives_signal_domain(spark):
     d = labels.three_classes(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "int(close > 100) as target_long", "-int(close < 100) as target_short"))
     got = d.collect()
     assert len(got) == 4 and {r.target for r in got} <= {-1, 0, 1}
+
+
+def test_pairs_carry_the_last_close_of_the_reference(spark):
+    from tickloom.operators import cross
+
+    at = lambda h: pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)
+    rows = [("m", at(h), float(h)) for h in (0, 1, 2, 5, 900)] + [("r", at(h), 100.0 + h) for h in (1, 3, 4)]
+    bars = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "ts", "close"]), "symbol string, ts timestamp_ntz, close double")
+    pairs = spark.createDataFrame([("m", "r")], "main string, ref string")
+    got = sorted((r.ts, r.symbol, r.close, r.ref_close, r.ref_filled) for r in cross.align(bars, pairs).collect())
+    assert got == [(at(0), "m|r", 0.0, None, 0), (at(1), "m|r", 1.0, 101.0, 0), (at(2), "m|r", 2.0, 101.0, 1), (at(5), "m|r", 5.0, 104.0, 1), (at(900), "m|r", 900.0, 104.0, 1)]
+
+
+def test_daily_drawdown_of_a_run(spark):
+    from tickloom.operators import performance
+
+    day = lambda d: pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)
+    rows = [(1, day(0), -100.0), (1, day(1), 300.0), (1, day(1), -50.0), (1, day(2), -575.0), (2, day(0), 10.0)]
+    t = spark.createDataFrame(pd.DataFrame(rows, columns=["run", "exit_ts", "pnl"]))
+    got = {r.run: r.max_drawdown for r in performance.daily_drawdown(t, ["run"], 1000.0).collect()}
+    assert abs(got[1] - 50.0) < 1e-9 and got[2] == 0.0

@@ -16,15 +16,19 @@ CORR_LABELS = ["very_low", "low", "neutral", "high", "very_high"]
 
 
 def align(bars: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Close of each main series next to the close of its references at the same time.
+    """Close of each main series next to the latest close of its references, on the calendar of the main series.
 
-    ``pairs`` (main, ref) is the user's list; the result has one series per pair. The
-    bars join on (ref, ts), never series against series.
+    ``pairs`` (main, ref) is the user's list; the result has one series per pair. Where the
+    reference has no bar at that time its last close is carried on (``ref_filled``), so
+    windows over the pair are complete; before its first bar the close is null. The carrying
+    goes by time buckets (see ``asof``), never series against series.
     """
-    main = bars.join(pairs, bars.symbol == pairs.main).select("main", "ref", "ts", "close")
-    ref = bars.select(F.col("symbol").alias("ref"), "ts", F.col("close").alias("ref_close"))
-    joined = main.join(ref, ["ref", "ts"], "left")
-    return joined.withColumn("symbol", F.concat_ws("|", "main", "ref"))
+    name = F.concat_ws("|", "main", "ref").alias("symbol")
+    main = bars.join(pairs, bars.symbol == pairs.main).select(name, "main", "ref", "ts", "close")
+    ref = bars.select(F.col("symbol").alias("_ref"), "ts", "close").join(pairs, F.col("_ref") == pairs.ref)
+    ref = ref.select(name, "ts", F.col("close").alias("ref_close"), F.col("ts").alias("_ref_ts"))
+    d = asof(main, ref, ["ref_close", "_ref_ts"])
+    return d.withColumn("ref_filled", flag(F.col("_ref_ts") < F.col("ts"))).drop("_ref_ts")
 
 
 def pair_features(pair: DataFrame, n=30, max_lag=5, causal=False) -> DataFrame:

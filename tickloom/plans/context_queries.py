@@ -183,7 +183,8 @@ def order_pairs(spark, sf):
 
 _PAIR = (
     Sql(ORDERS)
-    .cte(f"SELECT m.symbol AS main, r.symbol AS ref, concat(m.symbol, '|', r.symbol) AS symbol, m.ts, m.close, x.close AS ref_close FROM b m JOIN (SELECT DISTINCT symbol FROM b WHERE symbol <> '{MAIN}') r ON m.symbol = '{MAIN}' LEFT JOIN b x ON x.symbol = r.symbol AND x.ts = m.ts")
+    .cte(f"SELECT m.symbol AS main, r.symbol AS ref, concat(m.symbol, '|', r.symbol) AS symbol, m.ts, m.close FROM b m JOIN (SELECT DISTINCT symbol FROM b WHERE symbol <> '{MAIN}') r ON m.symbol = '{MAIN}'", "mains")
+    .cte("SELECT p.*, x.close AS ref_close, coalesce(CAST(x.ts < p.ts AS INTEGER), 0) AS ref_filled FROM mains p ASOF LEFT JOIN b x ON x.symbol = p.ref AND p.ts >= x.ts")
     .step(_m=chg("close", lag("close")), _r=chg("ref_close", lag("ref_close")))
 )
 _B30 = B(30)
@@ -201,7 +202,7 @@ _PAIR.step(
 )
 _PAIR.step(best="greatest(" + ", ".join(f"c{k + 5}" for k in _lags) + ")", high_correlation=flag("abs(correlation) > 0.7"), correlation_sign="sign(correlation)")
 _PAIR.step(lead_lag="CASE " + " ".join(f"WHEN c{k + 5} = best THEN {k}" for k in _lags) + " ELSE 0 END")
-PF_D, PF_I = "correlation relative_strength correlation_sign", "high_correlation lead_lag return_divergence"
+PF_D, PF_I = "correlation relative_strength correlation_sign", "high_correlation lead_lag return_divergence ref_filled"
 
 
 def pairs_of(spark, sf):
