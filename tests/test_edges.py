@@ -1,6 +1,6 @@
-import pandas as pd
 import datetime as dt
 
+import pandas as pd
 import pytest
 from helpers import SCHEMA, fetch, frame, walk
 from pyspark.errors import PySparkException
