@@ -61,6 +61,10 @@ RULES = {
     "extremes": trades.Exit(stop=0.02, take=0.04, extremes=True, max_hold=50),
     "trailing": trades.Exit(atr_stop=1.5, rr=2.0, atr_trail=1.0, breakeven=1.5, reversal=True, max_hold=96),
     "percent": trades.Exit(stop=0.05, trail=0.03, max_hold=96),
+    "free_trail": trades.Exit(stop=0.3, take=0.6, trail=0.12),
+    "free_trail_extremes": trades.Exit(stop=0.2, take=0.3, trail=0.15, extremes=True),
+    "free_extremes": trades.Exit(stop=0.2, take=0.3, extremes=True),
+    "free_atr": trades.Exit(atr_stop=8.0, rr=1.5),
 }
 
 
@@ -79,7 +83,7 @@ def data(spark):
 def test_trades_equal_the_loop(data, size):
     w, d = data
     for name, r in RULES.items():
-        got = trades.one_at_a_time(panel(d, size=size), [r], first_reach=16).toPandas().sort_values("entry_no")
+        got = trades.one_at_a_time(panel(d, size=size), [r]).toPandas().sort_values("entry_no")
         mine = [(int(a), int(b), c, round(p, 6)) for a, b, c, p in zip(got.entry_no, got.exit_no, got.reason, got.exit_price, strict=True)]
         assert mine == loop(w, r), name
 
@@ -98,3 +102,34 @@ def test_costs(data):
     side = np.where(t.direction == "long", 1, -1)
     fee = (t.entry_fill + t.exit_fill) * 2 * 0.002
     np.testing.assert_allclose(t.pnl, side * (t.exit_price * (1 - side * 0.001) - t.entry_price * (1 + side * 0.001)) * 2 - fee)
+
+
+def test_one_position_open_over_many_chunks(spark):
+    """Entered in the first chunk, stopped in the fourteenth; the next one never ends."""
+    n = 64 * 16
+    w = walk(n, 3)
+    w["close"] = 100 + np.sin(np.arange(n))
+    w.loc[64 * 13 + 5 :, "close"] = 80.0
+    w["signal"] = np.where(np.arange(n) % 3 == 1, 1, 0)
+    d = frame(spark, w[["symbol", "ts", "open", "high", "low", "close", "volume"]])
+    d = d.join(spark.createDataFrame(w[["ts", "signal"]], "ts timestamp_ntz, signal int"), "ts")
+    rules = [trades.Exit(k, stop=0.1 + k / 1000, take=0.5) for k in range(10)]
+    got = trades.one_at_a_time(panel(d, size=64), rules).toPandas().sort_values("param_id")
+    assert got.param_id.tolist() == list(range(10))
+    assert (got.entry_no == 1).all() and (got.exit_no == 64 * 13 + 5).all() and (got.reason == "stop_loss").all()
+    assert (got.entry_ts == w.ts[1]).all() and (got.exit_ts == w.ts[64 * 13 + 5]).all() and (got.exit_price == 80.0).all()
+
+
+def test_ladder_equals_a_plain_search():
+    rng = np.random.default_rng(5)
+    y = rng.normal(0, 1, 9000).cumsum()
+    y[rng.integers(0, 9000, 300)] = np.nan
+    start, f, t = rng.integers(0, 9001, 400), rng.normal(0, 60, 400), rng.normal(-40, 60, 400)
+    want = [next((j for j in range(a, 9000) if y[j] - b <= c), 9000) for a, b, c in zip(start, f, t, strict=True)]
+    assert trades.Ladder(y).find(start, f, t).tolist() == want
+
+
+def test_what_a_free_rule_cannot_have(data):
+    _, d = data
+    with pytest.raises(ValueError):
+        trades.one_at_a_time(panel(d), [trades.Exit(atr_stop=1.0, atr_trail=1.0)])

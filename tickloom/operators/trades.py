@@ -8,11 +8,13 @@ no task needs a whole series:
 * where an entry at bar i would end depends on the bars after i only;
 * so a chunk is a function "flat from bar p on" -> "flat from bar q on", a step
   function of p with few steps, found by one backward pass over its entries;
-* these functions (one small row per chunk) are chained per series;
+* these functions (one row per chunk) are chained per series in a streamed pass;
 * with the entry state of each chunk known, every chunk lists its own trades.
 
-Positions may outlive a chunk: bars ahead are copied as far as a position can reach.
-Without ``max_hold`` the reach is doubled until every exit is found.
+Positions may outlive a chunk. With ``max_hold`` the bars ahead are copied. Without it
+nothing is copied: a chunk leaves the records of its prices (each new low and high) and
+its first bar without the signal, and the chain carries the one position that is open
+from chunk to chunk until a record crosses its level, which names the exact bar.
 """
 
 from __future__ import annotations
@@ -55,6 +57,11 @@ class Exit:
     reversal: bool = False  # momentum against the position at a loss of half R
     max_hold: int | None = None
 
+    @property
+    def levels(self) -> bool:
+        """Stop and target stay where they are: no trailing, no look at momentum."""
+        return self.trail is None and self.atr_trail is None and not self.reversal
+
     def columns(self) -> list[str]:
         cols = [self.signal, "close"]
         if self.extremes:
@@ -69,6 +76,8 @@ class Exit:
 # Names of the checks, in the order they are made on one bar.
 REASONS = ("stop_loss", "take_profit", "trailing_stop", "time_exit", "signal_off", "momentum_reversal")
 CELLS = 2_000_000  # entries x bars looked at in one step
+FAN = 64  # bars in a block, blocks in a block of the next level
+RULES_A_TASK = 8
 
 
 @dataclass
@@ -78,7 +87,109 @@ class Series:
     no: np.ndarray
     cols: dict[str, np.ndarray]
     home: int
-    ends: bool  # the series ends inside the arrays
+
+    def alone(self) -> Series:
+        """Without the copies."""
+        return Series(self.no[: self.home], {k: v[: self.home] for k, v in self.cols.items()}, self.home)
+
+
+def _distances(s: Series, i: np.ndarray, r: Exit):
+    """Loss and gain (None: not tested) at which positions opened at bars i are left."""
+    unit = r.atr_stop * s.cols["atr_14"][i] if r.atr_stop is not None else None
+    entry = s.cols["close"][i]
+    risk = unit if unit is not None else (r.stop * entry if r.stop is not None else None)
+    gain = r.rr * unit if unit is not None else (r.take * entry if r.take is not None else None)
+    return risk, gain
+
+
+class Ladder:
+    """First bar at or after a start where y - f <= t, for many (start, f, t) at once.
+
+    Level 0 holds the bars, each next level the minima of blocks of 64. A search climbs
+    over blocks without a hit and comes down in the first one that has it, so it looks at
+    some hundred cells whatever the distance. Rounded differences do not fall when y
+    grows, so a block's minimum decides for its bars exactly as they would.
+    """
+
+    def __init__(self, y: np.ndarray):
+        self.n = len(y)
+        y = np.where(np.isnan(y), np.inf, y)
+        self.levels = []
+        while True:
+            y = np.concatenate([y, np.full(-len(y) % FAN, np.inf)])
+            self.levels.append(y)
+            if len(y) <= FAN:
+                break
+            y = y.reshape(-1, FAN).min(axis=1)
+
+    def find(self, start: np.ndarray, f: np.ndarray, t: np.ndarray) -> np.ndarray:
+        out = np.full(len(start), self.n, dtype="int64")
+        for a in range(0, len(start), CELLS // FAN):
+            piece = slice(a, a + CELLS // FAN)
+            out[piece] = self._find(start[piece], f[piece], t[piece])
+        return out
+
+    def _find(self, start, f, t):
+        at, level = start.astype("int64"), np.full(len(start), -1)
+        todo = np.flatnonzero(start < self.n)
+        for depth, y in enumerate(self.levels):
+            todo = todo[at[todo] < len(y)]
+            cell = (at[todo] // FAN * FAN)[:, None] + np.arange(FAN)
+            hit = (y[cell] - f[todo, None] <= t[todo, None]) & (cell >= at[todo, None])
+            found = hit.any(axis=1)
+            at[todo[found]] = cell[found, hit[found].argmax(axis=1)]
+            level[todo[found]] = depth
+            todo = todo[~found]
+            at[todo] = at[todo] // FAN + 1
+        for depth in range(len(self.levels) - 1, 0, -1):
+            down = np.flatnonzero(level == depth)
+            cell = (at[down] * FAN)[:, None] + np.arange(FAN)
+            hit = self.levels[depth - 1][cell] - f[down, None] <= t[down, None]
+            at[down] = cell[np.arange(len(down)), hit.argmax(axis=1)]
+            level[down] = depth - 1
+        return np.where(level == 0, at, self.n)
+
+
+def _next(miss: np.ndarray) -> np.ndarray:
+    """Position of the first True at or after each one (the length: none)."""
+    at = np.where(miss, np.arange(len(miss)), len(miss))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _level_exits(s: Series, entries: np.ndarray, r: Exit):
+    """Exits by fixed levels, age and signal: one search per check and side."""
+    n = len(s.no)
+    k = np.full(len(entries), -1, dtype="int64")
+    price, reason = np.full(len(entries), np.nan), np.full(len(entries), -1, dtype="int64")
+    risk, gain = _distances(s, entries, r)
+    sign = np.sign(s.cols[r.signal])
+    low, high = (s.cols["low"], s.cols["high"]) if r.extremes else (s.cols["close"], s.cols["close"])
+    for side in (1.0, -1.0):
+        part = np.flatnonzero(sign[entries] == side)
+        i = entries[part]
+        if not len(i):
+            continue
+        entry = s.cols["close"][i]
+        worst, best = (side * low, side * high) if side > 0 else (side * high, side * low)
+        found = np.full((len(REASONS), len(i)), n, dtype="int64")
+        if risk is not None:
+            found[0] = Ladder(worst).find(i + 1, side * entry, -risk[part])
+        if gain is not None:
+            found[1] = Ladder(-best).find(i + 1, -side * entry, -gain[part])
+        if r.max_hold is not None:
+            found[3] = np.minimum(i + r.max_hold, n)
+        if r.signal_off:
+            found[4] = np.append(_next(sign != side), n)[i + 1]
+        bar, code = found.min(axis=0), found.argmin(axis=0)
+        done = bar < n
+        k[part[done]], reason[part[done]] = bar[done], code[done]
+        exact = s.cols["close"][np.minimum(bar, n - 1)]
+        if r.extremes and risk is not None:
+            exact = np.where(code == 0, entry - side * risk[part], exact)
+        if r.extremes and gain is not None:
+            exact = np.where(code == 1, entry + side * gain[part], exact)
+        price[part[done]] = exact[done]
+    return k, price, reason
 
 
 def _checks(s: Series, i: np.ndarray, width: int, r: Exit):
@@ -95,9 +206,7 @@ def _checks(s: Series, i: np.ndarray, width: int, r: Exit):
         low, high = s.cols["low"][at], s.cols["high"][at]
         worst = side * (np.where(side > 0, low, high) - entry)
         best = side * (np.where(side > 0, high, low) - entry)
-    unit = r.atr_stop * s.cols["atr_14"][i][:, None] if r.atr_stop is not None else None
-    risk = unit if unit is not None else (r.stop * entry if r.stop is not None else None)
-    gain = r.rr * unit if unit is not None else (r.take * entry if r.take is not None else None)
+    risk, gain = (x if x is None else x[:, None] for x in _distances(s, i, r))
     if risk is not None:
         yield 0, real & (worst <= -risk), entry - side * risk
     if gain is not None:
@@ -128,8 +237,11 @@ def _checks(s: Series, i: np.ndarray, width: int, r: Exit):
 def exits(s: Series, entries: np.ndarray, r: Exit):
     """Exit index (-1: none found), price and reason number of every entry.
 
-    All entries are looked at together, first over a few bars, the open ones over more.
+    Rules with a trailing part look at all entries together, first over a few bars, the
+    open ones over more.
     """
+    if r.levels:
+        return _level_exits(s, entries, r)
     k = np.full(len(entries), -1, dtype="int64")
     price = np.full(len(entries), np.nan)
     reason = np.full(len(entries), -1, dtype="int64")
@@ -162,69 +274,220 @@ def exits(s: Series, entries: np.ndarray, r: Exit):
     return k, price, reason
 
 
-def _load(pdf: pd.DataFrame, columns: list[str], reach: int) -> Series:
+def _load(pdf: pd.DataFrame, columns: list[str]) -> Series:
     pdf = pdf.sort_values(NO)
-    no = pdf[NO].to_numpy()
     home = int((~pdf[COPY].to_numpy()).sum())
-    cols = {c: pdf[c].to_numpy(dtype="float64") for c in columns}
-    ends = home == 0 or no[-1] < no[home - 1] + reach
-    return Series(no, cols, home, ends)
+    return Series(pdf[NO].to_numpy(), {c: pdf[c].to_numpy(dtype="float64") for c in columns}, home)
 
 
 def _entries(s: Series, r: Exit) -> np.ndarray:
     return np.flatnonzero(np.nan_to_num(s.cols[r.signal][: s.home]) != 0)
 
 
-STEP_COLUMNS = [KEY, CHUNK, "param_id", "first_no", "end_no", "upto", "leave", "open"]
-TRADE_COLUMNS = ["symbol", "param_id", "direction", "entry_ts", "entry_price", "exit_ts", "exit_price", "entry_no", "exit_no", "reason"]
+def _micros(ts) -> np.ndarray:
+    return np.asarray(ts).astype("datetime64[us]").astype("int64")
+
+
+def _records(y: np.ndarray, no: np.ndarray) -> tuple[list, list]:
+    """Bars (and values) where y is lower than ever before in the chunk."""
+    lowest = np.fmin.accumulate(y)
+    before = np.concatenate([[np.inf], np.where(np.isnan(lowest[:-1]), np.inf, lowest[:-1])])
+    at = np.flatnonzero(y < before)
+    return no[at].tolist(), y[at].tolist()
+
+
+def _trail_alone(y: np.ndarray, no: np.ndarray, trail: float) -> int:
+    """First bar that has fallen by ``trail`` from a peak of the same chunk (-1: none)."""
+    peak = np.fmax.accumulate(y)
+    hit = y <= peak - np.abs(peak) * trail
+    return int(no[hit.argmax()]) if hit.any() else -1
+
+
+def _summary(s: Series, r: Exit) -> dict:
+    """What an open position that comes in from before needs to know of a chunk."""
+    close, sign = s.cols["close"], np.sign(s.cols[r.signal])
+    low, high = (s.cols["low"], s.cols["high"]) if r.extremes else (close, close)
+    row = {}
+    for name, y in (("low", low), ("high", -high), ("floor", close), ("roof", -close)):
+        asked = name in ("low", "high") or r.trail is not None
+        row[f"{name}_no"], row[name] = _records(y, s.no) if asked else ([], [])
+    for side, name in ((1, "long"), (-1, "short")):
+        off = np.flatnonzero(sign != side)
+        row[f"off_{name}"] = int(s.no[off[0]]) if r.signal_off and len(off) else -1
+        row[f"trail_{name}"] = _trail_alone(side * close, s.no, r.trail) if r.trail is not None else -1
+    return row
+
+
+def _open(s: Series, entries: np.ndarray, ts: np.ndarray, r: Exit) -> dict:
+    """Entries whose position is open at the end of the chunk."""
+    risk, gain = _distances(s, entries, r)
+    none = np.full(len(entries), np.nan)
+    side, close = np.sign(s.cols[r.signal][entries]), s.cols["close"]
+    top = {v: np.fmax.accumulate((v * close)[::-1])[::-1] for v in (1.0, -1.0)}
+    row = {"o_no": s.no[entries], "o_side": side, "o_price": close[entries], "o_ts": ts[entries]}
+    row |= {"o_risk": none if risk is None else risk, "o_gain": none if gain is None else gain}
+    row["o_peak"] = np.where(side > 0, top[1.0][entries], top[-1.0][entries])
+    return {k: v.tolist() for k, v in row.items()}
+
+
+STEP_SCHEMA = (
+    f"{KEY} string, {CHUNK} bigint, param_id int, first_no bigint, end_no bigint, upto array<bigint>, leave array<bigint>, "
+    "o_no array<bigint>, o_side array<double>, o_price array<double>, o_ts array<bigint>, o_risk array<double>, o_gain array<double>, o_peak array<double>, "
+    "low_no array<bigint>, low array<double>, high_no array<bigint>, high array<double>, "
+    "floor_no array<bigint>, floor array<double>, roof_no array<bigint>, roof array<double>, "
+    "off_long bigint, off_short bigint, trail_long bigint, trail_short bigint"
+)
+STEP_COLUMNS = [c.split()[0] for c in STEP_SCHEMA.split(", ")]
+TRADE_SCHEMA = "symbol string, param_id int, direction string, entry_ts timestamp_ntz, entry_price double, exit_ts timestamp_ntz, exit_price double, entry_no bigint, exit_no bigint, reason string"
+TRADE_COLUMNS = [c.split()[0] for c in TRADE_SCHEMA.split(", ")]
+# The state a chunk starts in, and the trade that comes in and ends there (in_entry NULL: none).
+STATE = "flat_from bigint, in_entry bigint, in_side double, in_price double, in_ts bigint, in_exit bigint, in_level double, in_reason int"
+STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
+
+
+def _of_task(pdf: pd.DataFrame, rules: list[Exit]) -> list[Exit]:
+    k = int(pdf["_part"].iloc[0]) * RULES_A_TASK
+    return rules[k : k + RULES_A_TASK]
 
 
-def _steps(pdf: pd.DataFrame, rules: list[Exit], columns: list[str], reach: int) -> pd.DataFrame:
-    """One row per rule: the chunk as a step function of the incoming flat position."""
-    s = _load(pdf, columns, reach)
+def _steps(pdf: pd.DataFrame, rules: list[Exit], columns: list[str]) -> pd.DataFrame:
+    """One row per rule: the chunk as a step function of the incoming flat position.
+
+    A step leads to the bar from which the path is flat again behind the chunk, or, as
+    -1 - entry_no, to a position that is open there.
+    """
+    s = _load(pdf, columns)
     if s.home == 0:
         return pd.DataFrame(columns=STEP_COLUMNS)
+    ts = _micros(pdf.sort_values(NO)[TS])
     start, end = int(s.no[0]), int(s.no[s.home - 1]) + 1
     rows = []
-    for r in rules:
-        entries = _entries(s, r)
-        k, _, _ = exits(s, entries, r)
+    for r in _of_task(pdf, rules):
+        free = r.max_hold is None
+        seen = s.alone() if free else s
+        entries = _entries(seen, r)
+        k, _, _ = exits(seen, entries, r)
         nxt = np.searchsorted(entries, k + 1)
-        leave = np.where(k < 0, NEVER, np.maximum(start + k + 1, end))
+        leave = np.where(k < 0, -1 - s.no[entries] if free else NEVER, np.maximum(start + k + 1, end))
         for e in np.flatnonzero((k >= 0) & (nxt < len(entries)))[::-1]:
             leave[e] = leave[nxt[e]]
         keep = np.ones(len(entries), dtype=bool)
         keep[:-1] = leave[:-1] != leave[1:]
-        open_ = 0 if s.ends else int((k < 0).sum())
-        rows.append((pdf[KEY].iloc[0], int(pdf[CHUNK].iloc[0]), r.param_id, start, end, (entries[keep] + start).tolist(), leave[keep].tolist(), open_))
+        row = {KEY: pdf[KEY].iloc[0], CHUNK: int(pdf[CHUNK].iloc[0]), "param_id": r.param_id, "first_no": start, "end_no": end}
+        row |= {"upto": (entries[keep] + start).tolist(), "leave": leave[keep].tolist()}
+        row |= _open(seen, entries[k < 0] if free else entries[:0], ts, r)
+        rows.append(row | _summary(seen if free else Series(s.no[:0], {c: v[:0] for c, v in s.cols.items()}, 0), r))
     return pd.DataFrame(rows, columns=STEP_COLUMNS)
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the step functions of one series: where each chunk starts to be flat."""
-    pdf = pdf.sort_values(CHUNK)
-    p, out = 0, []
-    for upto, leave, end in zip(pdf["upto"], pdf["leave"], pdf["end_no"], strict=True):
-        out.append(p)
-        if p < end:
-            k = int(np.searchsorted(upto, p))
-            p = int(leave[k]) if k < len(upto) else int(end)
-    return pd.DataFrame({KEY: pdf[KEY], CHUNK: pdf[CHUNK], "param_id": pdf["param_id"], "flat_from": out})
+def _crossing(nos, values, f: float, t: float) -> int:
+    """First bar of falling records with value - f <= t (NEVER: none)."""
+    if not len(nos) or not np.isfinite(f) or np.isnan(t):
+        return NEVER
+    k = int(np.searchsorted(f - np.asarray(values), -t))
+    return int(nos[k]) if k < len(nos) else NEVER
+
+
+def _leaves(row, pos: dict, r: Exit):
+    """(bar, reason, level) where an open position ends in this chunk; bar NEVER: it goes on."""
+    side, price = pos["side"], pos["price"]
+    name = "long" if side > 0 else "short"
+    falls, gains = ("low", "high") if side > 0 else ("high", "low")
+    found = [(NEVER, 9, None)]
+    stop, take = (price - side * pos["risk"], price + side * pos["gain"]) if r.extremes else (None, None)
+    found.append((_crossing(row[f"{falls}_no"], row[falls], side * price, -pos["risk"]), 0, stop))
+    found.append((_crossing(row[f"{gains}_no"], row[gains], -side * price, -pos["gain"]), 1, take))
+    if r.trail is not None:
+        under = "floor" if side > 0 else "roof"
+        limit = pos["peak"] - abs(pos["peak"]) * r.trail
+        found.append((_crossing(row[f"{under}_no"], row[under], 0.0, limit), 2, None))
+        if row[f"trail_{name}"] >= 0:
+            found.append((int(row[f"trail_{name}"]), 2, None))
+        over = row["roof" if side > 0 else "floor"]
+        if len(over):
+            pos["peak"] = max(pos["peak"], -over[-1])
+    if row[f"off_{name}"] >= 0:
+        found.append((int(row[f"off_{name}"]), 4, None))
+    return min(found, key=lambda x: x[:2])
+
+
+def _walk_chunk(row, at: int, pos: dict | None, r: Exit):
+    """State at the start of a chunk, and the one behind it."""
+    came = dict.fromkeys(STATE_COLUMNS)
+    came["flat_from"] = NEVER
+    if pos is not None:
+        bar, reason, level = _leaves(row, pos, r)
+        if bar == NEVER:
+            return came, at, pos
+        came |= {"in_entry": pos["no"], "in_side": pos["side"], "in_price": pos["price"], "in_ts": pos["ts"]}
+        came |= {"in_exit": bar, "in_level": level, "in_reason": reason}
+        at = bar + 1
+    came["flat_from"] = at
+    if at >= row["end_no"]:
+        return came, at, None
+    k = int(np.searchsorted(row["upto"], at))
+    if k == len(row["upto"]):
+        return came, int(row["end_no"]), None
+    leave = int(row["leave"][k])
+    if leave >= 0:
+        return came, leave, None
+    o = int(np.searchsorted(row["o_no"], -1 - leave))
+    return came, at, {k: row[f"o_{k}"][o] for k in ("no", "side", "price", "ts", "risk", "gain", "peak")}
+
+
+def _chain(rules: dict[int, Exit]):
+    """Walk the step functions, streamed by (series, rule, chunk)."""
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, at, pos = None, 0, None
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                key = (row[KEY], row["param_id"])
+                if key != path:
+                    path, at, pos = key, 0, None
+                came, at, pos = _walk_chunk(row, at, pos, rules[row["param_id"]])
+                out.append({KEY: row[KEY], CHUNK: row[CHUNK], "param_id": row["param_id"]} | came)
+            d = pd.DataFrame(out, columns=[KEY, CHUNK, "param_id", *STATE_COLUMNS])
+            whole = ("in_entry", "in_ts", "in_exit", "in_reason")
+            real = ("in_side", "in_price", "in_level")
+            yield d.astype(dict.fromkeys(whole, "Int64") | dict.fromkeys(real, "float64"))
+
+    return call
 
 
-def _walk(pdf: pd.DataFrame, rules: list[Exit], columns: list[str], reach: int) -> pd.DataFrame:
-    """The trades that start in the chunk, given where it starts to be flat."""
-    s = _load(pdf, columns, reach)
+def _list(pdf: pd.DataFrame, rules: list[Exit], columns: list[str]) -> pd.DataFrame:
+    """The trades that start in the chunk, and those that end there having come in."""
+    s = _load(pdf, columns)
     if s.home == 0:
         return pd.DataFrame(columns=TRADE_COLUMNS)
     ts = pdf.sort_values(NO)[TS].to_numpy()
-    flat = dict(zip(pdf["_rule"].iloc[0], pdf["_from"].iloc[0], strict=True))
+    state = {v["param_id"]: v for v in pdf["_state"].iloc[0]}
+    symbol = pdf[KEY].iloc[0]
     parts = []
-    for r in rules:
-        entries = _entries(s, r)
-        k, price, reason = exits(s, entries, r)
+    for r in _of_task(pdf, rules):
+        v = state[r.param_id]
+        if v["in_entry"] is not None:
+            x = int(v["in_exit"] - s.no[0])
+            level = v["in_level"]
+            came = (
+                symbol,
+                r.param_id,
+                "long" if v["in_side"] > 0 else "short",
+                np.datetime64(int(v["in_ts"]), "us"),
+                v["in_price"],
+                ts[x],
+                s.cols["close"][x] if level is None or np.isnan(level) else level,
+                v["in_entry"],
+                v["in_exit"],
+                REASONS[v["in_reason"]],
+            )
+            parts.append(pd.DataFrame([came], columns=TRADE_COLUMNS))
+        seen = s.alone() if r.max_hold is None else s
+        entries = _entries(seen, r)
+        k, price, reason = exits(seen, entries, r)
         nxt = np.searchsorted(entries, k + 1)
-        e, taken = np.searchsorted(entries, flat.get(r.param_id, NEVER) - s.no[0]), []
+        e, taken = np.searchsorted(entries, v["flat_from"] - s.no[0]), []
         while e < len(entries) and k[e] >= 0:
             taken.append(e)
             e = nxt[e]
@@ -232,7 +495,7 @@ def _walk(pdf: pd.DataFrame, rules: list[Exit], columns: list[str], reach: int)
         parts.append(
             pd.DataFrame(
                 {
-                    "symbol": pdf[KEY].iloc[0],
+                    "symbol": symbol,
                     "param_id": r.param_id,
                     "direction": np.where(s.cols[r.signal][i] > 0, "long", "short"),
                     "entry_ts": ts[i],
@@ -245,7 +508,8 @@ def _walk(pdf: pd.DataFrame, rules: list[Exit], columns: list[str], reach: int)
                 }
             )
         )
-    return pd.concat(parts)[TRADE_COLUMNS]
+    parts = [p for p in parts if len(p)]
+    return pd.concat(parts)[TRADE_COLUMNS] if parts else pd.DataFrame(columns=TRADE_COLUMNS)
 
 
 def _bind(fn, *args):
@@ -255,31 +519,33 @@ def _bind(fn, *args):
     return call
 
 
-STEP_SCHEMA = f"{KEY} string, {CHUNK} bigint, param_id int, first_no bigint, end_no bigint, upto array<bigint>, leave array<bigint>, open bigint"
-TRADE_SCHEMA = "symbol string, param_id int, direction string, entry_ts timestamp_ntz, entry_price double, exit_ts timestamp_ntz, exit_price double, entry_no bigint, exit_no bigint, reason string"
-
-
-def one_at_a_time(df: DataFrame, rules: list[Exit], first_reach: int = 256) -> DataFrame:
+def one_at_a_time(df: DataFrame, rules: list[Exit]) -> DataFrame:
     """Closed trades of every rule: enter at the close of a signal bar when flat.
 
-    ``df`` is a panel with the rules' columns; all rules share one pass over the data.
-    A position still open at the end of its series is not a trade.
+    ``df`` is a panel with the rules' columns. A task has one chunk and up to eight rules.
+    A position still open at the end of its series is not a trade. Without ``max_hold`` a
+    rule may have fixed levels, a percentage trail and the signal as its exits; trailing
+    by ATR and the momentum exit hang on each bar since the entry and need a ``max_hold``.
     """
+    for r in rules:
+        if r.max_hold is None and (r.atr_trail is not None or r.reversal):
+            raise ValueError("atr_trail and reversal need max_hold")
+    if len({r.param_id for r in rules}) < len(rules):
+        raise ValueError("rules need different param_id")
     columns = sorted({c for r in rules for c in r.columns()})
-    bounded = all(r.max_hold is not None for r in rules)
-    reach = max(r.max_hold for r in rules) if bounded else first_reach
-    size = layout(df)["size"]
     base = materialise(settle(df).select(KEY, TS, NO, *columns), "rule_bars")  # read by both passes
-    while True:
-        d = spread(base, 0, reach, size)
-        table = materialise(d.groupBy(KEY, CHUNK).applyInPandas(_bind(_steps, rules, columns, reach), STEP_SCHEMA), "steps")
-        if bounded or table.agg(F.sum("open")).first()[0] in (None, 0):
-            break
-        reach *= 4
-    flat = table.groupBy(KEY, "param_id").applyInPandas(_chain, f"{KEY} string, {CHUNK} bigint, param_id int, flat_from bigint")
-    flat = flat.groupBy(KEY, CHUNK).agg(F.collect_list(F.struct("param_id", "flat_from")).alias("_f"))
-    flat = flat.select(KEY, CHUNK, F.transform("_f", lambda x: x["param_id"]).alias("_rule"), F.transform("_f", lambda x: x["flat_from"]).alias("_from"))
-    return d.join(flat, [KEY, CHUNK]).groupBy(KEY, CHUNK).applyInPandas(_bind(_walk, rules, columns, reach), TRADE_SCHEMA)
+    d = spread(base, 0, max((r.max_hold or 0 for r in rules), default=0), layout(df)["size"])
+    parts = -(-len(rules) // RULES_A_TASK)
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+    d = d.withColumn("_part", part)
+    path = [KEY, "param_id"]
+    steps = d.groupBy(KEY, CHUNK, "_part").applyInPandas(_bind(_steps, rules, columns), STEP_SCHEMA)
+    steps = steps.repartition(*path).sortWithinPartitions(*path, CHUNK)
+    state = steps.mapInPandas(_chain({r.param_id: r for r in rules}), f"{KEY} string, {CHUNK} bigint, param_id int, {STATE}")
+    number = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.param_id, k // RULES_A_TASK)])
+    state = state.withColumn("_part", number[F.col("param_id")])
+    state = state.groupBy(KEY, CHUNK, "_part").agg(F.collect_list(F.struct("param_id", *STATE_COLUMNS)).alias("_state"))
+    return d.join(state, [KEY, CHUNK, "_part"]).groupBy(KEY, CHUNK, "_part").applyInPandas(_bind(_list, rules, columns), TRADE_SCHEMA)
 
 
 def fixed_horizon(df: DataFrame, signal: str, n: int, fee: float = 0.0) -> DataFrame:

@@ -97,6 +97,12 @@ def q_trades_extremes(spark, sf):
     return finish(t, *T_OUT[0].split(), *T_OUT[1].split(), keys=("symbol",))
 
 
+@query("trades_without_longest_hold", _rule_sql(EVENT, 0.9, 6.0, None, False, True).out(*T_OUT, keys="symbol"))
+def q_trades_free(spark, sf):
+    t = trades.one_at_a_time(with_signal(ev(spark, sf, 10)), [trades.Exit(stop=0.9, take=6.0, extremes=True)])
+    return finish(t, *T_OUT[0].split(), *T_OUT[1].split(), keys=("symbol",))
+
+
 @query("trades_trailing_exits")
 def q_trades_trailing(spark, sf):
     d = scan.atr(with_signal(ev(spark, sf, 12, scans=True)), (14,)).withColumn("momentum", F.col("close") - lagged("close", 10))
