@@ -1,10 +1,12 @@
 import datetime as dt
 import time
 
+import numpy as np
 import pandas as pd
+import pytest
 from helpers import SCHEMA, frame, walk
 
-from tickloom.session import work_dir
+from tickloom.session import ROCKS, work_dir
 from tickloom.streaming import monitor, state, windows
 from tickloom.streaming.run import run_batches, run_to_table
 
@@ -44,11 +46,50 @@ def test_state_survives_batches_and_repeated_bars(spark):
     assert once == split and {p[-1] for p in once} <= {-1, 0, 1} and any(p[-1] for p in once)
 
 
-def state_rows(spark, parts):
+def bar_stream(spark, parts):
     path = work_dir(spark, "bars")
     for p in parts:
         frame(spark, pd.DataFrame(p)).selectExpr("symbol", "cast(ts as timestamp) ts", "open", "high", "low", "close", "volume").coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
-    s = spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp")).option("maxFilesPerTrigger", 1).parquet(path)
-    d = run_to_table(state.indicators(s), "state").toPandas().sort_values("ts")
-    return [(a, round(b, 9), c) for a, b, c in zip(d.ts, d.macd_signal, d.position, strict=True)]
+    return spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp")).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def state_rows(spark, parts, **how):
+    d = run_to_table(state.indicators(bar_stream(spark, parts), **how), "state", empty_batches="keep_ms" not in how).toPandas().sort_values("ts")
+    return [(a, *[round(x, 9) for x in b]) for a, *b in zip(d.ts, d.ema_12, d.macd_signal, d.rsi_14.fillna(-1), d.atr_14.fillna(-1), d.position, strict=True)]
+
+
+@pytest.mark.parametrize("cut", [5, 14, 40])
+def test_state_goes_on_from_stored_bars(spark, cut):
+    w = walk(90, 8)
+    once = state_rows(spark, [w])
+    assert state_rows(spark, [w[cut:70], w[60:]], history=frame(spark, w[:cut])) == once[cut:]
+
+
+def test_idle_symbols_lose_their_state(spark):
+    w = walk(40, 8)
+    kept = state_rows(spark, [w[:20], w[20:]], keep_ms=86_400_000)
+    assert kept == state_rows(spark, [w])
+    gone = state_rows(spark, [w[:20], w[20:]], keep_ms=1)
+    assert gone[20:] == state_rows(spark, [w[20:]])
+
+
+def test_restart_from_the_checkpoint(spark):
+    """The second run gets new files only, and finds the state the first one left."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    w = walk(60, 4)
+    path, out, mark = (work_dir(spark, k) for k in ("bars", "out", "mark"))
+
+    def run(part):
+        frame(spark, part).selectExpr("symbol", "cast(ts as timestamp) ts", "open", "high", "low", "close", "volume").write.mode("append").parquet(path)
+        s = spark.readStream.schema(SCHEMA.replace("timestamp_ntz", "timestamp")).parquet(path)
+        state.indicators(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+    run(w[:25])
+    run(w[25:])
+    d = spark.read.parquet(out).toPandas().sort_values("ts")
+    np.testing.assert_allclose(d.ema_12, w.close.ewm(span=12, adjust=False).mean(), rtol=1e-12)
+    fast, slow = (w.close.ewm(span=n, adjust=False).mean() for n in (12, 26))
+    above = (fast - slow) > (fast - slow).ewm(span=9, adjust=False).mean()
+    turns = (above != above.shift(fill_value=above[0])).cumsum()
+    assert d.position.tolist() == np.where(turns % 2 == 0, 0, np.where(above, 1, -1)).tolist()

@@ -12,7 +12,7 @@ from tickloom.plans.datasets import SIZE, event_bars, finish, table
 from tickloom.plans.feature_queries import _tr
 from tickloom.plans.model_queries import DOCS, _rates
 from tickloom.plans.registry import query
-from tickloom.plans.sql import EVENT, Sql, ema, lag
+from tickloom.plans.sql import EVENT, Sql, U, ema, lag
 from tickloom.session import prepare, work_dir
 from tickloom.sources.bars import resample
 from tickloom.streaming import monitor, state, windows
@@ -84,16 +84,17 @@ def q_unique(spark, sf):
     return finish(d.groupBy("event_type").agg(F.count(F.lit(1)).alias("ticks"), F.sum("value").alias("total")), "ticks", "total", keys=("event_type",), digits=3)
 
 
-@query(
-    "stream_indicators",
+_INDICATORS = (
     _copy(_CLOSED)
     .number()
     .step(_d=f"close - {lag('close')}", _p=lag("close"), _t=_tr, ema_12=ema("close", 12), ema_26=ema("close", 26))
     .step(macd="ema_12 - ema_26", _g="greatest(_d, 0)", _x="greatest(-_d, 0)", _tr="CASE WHEN _p IS NOT NULL THEN _t END")
     .step(macd_signal=ema("macd", 9), _u=ema("_g", 14, "mean", 1, True), _w=ema("_x", 14, "mean", 1, True), atr_14=ema("_tr", 14, "mean", 1, True))
     .step(rsi_14="CASE WHEN _u + _w = 0 THEN 0 ELSE 100 * _u / (_u + _w) END")
-    .out("ema_12 ema_26 macd macd_signal rsi_14 atr_14"),
 )
+
+
+@query("stream_indicators", _copy(_INDICATORS).out("ema_12 ema_26 macd macd_signal rsi_14 atr_14"))
 def q_indicators(spark, sf):
     return finish(ntz(indicator_table(spark, sf), "ts"), "ema_12", "ema_26", "macd", "macd_signal", "rsi_14", "atr_14")
 
@@ -103,7 +104,16 @@ def indicator_table(spark, sf):
     return run_to_table(state.indicators(spark.readStream.schema(bars.schema).parquet(out)), "indicators")
 
 
-@query("stream_positions")
+@query(
+    "stream_positions",
+    _copy(_INDICATORS)
+    .step(_up="macd > macd_signal")
+    .step(_turn=f"CASE WHEN _up <> {lag('_up')} THEN 1 ELSE 0 END")
+    .step(_turns=f"sum(_turn) {U}")
+    .step(position="CASE WHEN _turns % 2 = 0 THEN 0 WHEN _up THEN 1 ELSE -1 END")
+    .cte("SELECT symbol, count(*) AS bars, count(*) FILTER (position > 0) AS long_bars, count(*) FILTER (position < 0) AS short_bars FROM {last} GROUP BY 1")
+    .out("", "bars long_bars short_bars", keys="symbol"),
+)
 def q_positions(spark, sf):
     d = indicator_table(spark, sf)
     g = d.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count_if(F.col("position") > 0).alias("long_bars"), F.count_if(F.col("position") < 0).alias("short_bars"))
