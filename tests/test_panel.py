@@ -1,9 +1,11 @@
 """Chunked results must equal unchunked ones, whatever the chunk size."""
 
+import numpy as np
 import pytest
 from helpers import fetch, frame, same, walk
 from pyspark.sql import functions as F
 
+from tickloom.functions.rolling import sliding
 from tickloom.operators import candles, labels, oscillators, performance, price, statistics, volatility
 from tickloom.operators.panel import number_bars, number_rows, panel, settle
 
@@ -65,3 +67,20 @@ def test_row_order_does_not_matter(spark):
     a = fetch(settle(price.returns(panel(frame(spark, w), 20))), "return_5")
     b = fetch(settle(price.returns(panel(frame(spark, w.sample(frac=1, random_state=1)).repartition(7), 20))), "return_5")
     same(a, b)
+
+
+def test_sliding_equals_pandas_and_is_exact_on_constants(spark):
+    w = walk(700, 12)
+    w.loc[200:450, "close"] = 0.1
+    d = frame(spark, w)
+    hole = F.when(F.col("bar_no") != 500, F.col("close"))
+    kinds = {"sum": "sum", "mean": "mean", "min": "min", "max": "max", "std": "std", "std_pop": "std"}
+    specs = {f"{k}_{n}": (k, "x", n) for k in kinds for n in (1, 2, 3, 7, 64, 100, 200)}
+    got = fetch(settle(sliding(panel(d, 200, size=256).withColumn("x", hole), specs)), *specs)
+    x = w.close.where(np.arange(700) != 500)
+    for name, (kind, _, n) in specs.items():
+        how = {"ddof": 0} if kind == "std_pop" else {}
+        want = getattr(x.rolling(n), kinds[kind])(**how)
+        np.testing.assert_allclose(got[name].astype(float), want, rtol=1e-9, atol=1e-7, equal_nan=True, err_msg=name)
+    flat = got[(got.index >= 400) & (got.index <= 450)]
+    assert (flat.mean_200 == 0.1).all() and (flat.std_200 == 0.0).all() and (flat.std_pop_100 == 0.0).all()

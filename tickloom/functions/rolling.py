@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import col, ratio
-from tickloom.operators.panel import back
+from tickloom.operators.panel import back, lagged
 
 
 def roll(agg: Callable[[Column], Column], c, n: int) -> Column:
@@ -44,6 +44,98 @@ def rstd_pop(c, n):
     return roll(F.stddev_pop, c, n)
 
 
+# kind -> what is merged; means and deviations are merged without subtraction of sums
+FAMILY = {"sum": "sum", "min": "min", "max": "max", "mean": "mean", "std": "moments", "std_pop": "moments"}
+
+
+def _merge(family: str, new: Column, k: int, old: Column, m: int) -> Column:
+    """State of k + m neighbouring bars from those of the newer k and the older m.
+
+    A part without all its values is NULL and so is what is merged from it.
+    """
+    if family == "sum":
+        return new + old
+    if family in ("min", "max"):
+        pick = F.least if family == "min" else F.greatest
+        return F.when(new.isNotNull() & old.isNotNull(), pick(new, old))
+    if family == "mean":
+        return new + (old - new) * (m / (k + m))
+    gap = old["mean"] - new["mean"]
+    return F.struct((new["mean"] + gap * (m / (k + m))).alias("mean"), (new["m2"] + old["m2"] + gap * gap * (k * m / (k + m))).alias("m2"))
+
+
+def sliding(df: DataFrame, specs: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """Add values over the last n bars; specs: name -> (kind, column, n).
+
+    A frame of n bars is put together from disjoint parts of 1, 2, 4, ... bars, each made
+    from two of the next smaller ones by one ``lag``, so a frame costs log(n) steps a bar
+    and not n. All lengths over a column share the parts. Minimum and maximum overlap two
+    parts. On constant stretches means are exact and deviations 0.
+    """
+    asked: dict[tuple[str, str], set[int]] = {}
+    for kind, c, n in specs.values():
+        asked.setdefault((FAMILY[kind], c), set()).add(n)
+    for family, c in list(asked):
+        if family == "mean" and ("moments", c) in asked:
+            asked["moments", c] |= asked.pop((family, c))
+
+    def part(g, k):
+        return f"_part_{g[0]}_{g[1]}_{k}"
+
+    def at(g, k, shift=0):
+        return lagged(part(g, k), shift) if shift else F.col(part(g, k))
+
+    made = []
+    level = {}
+    for g in asked:
+        x = F.col(g[1]) if g[0] in ("min", "max") else F.col(g[1]).cast("double")
+        level[part(g, 1)] = F.struct(x.alias("mean"), (x * 0.0).alias("m2")) if g[0] == "moments" else x
+    k = 1
+    while level:
+        df = df.withColumns(level)
+        made += level
+        level = {part(g, 2 * k): _merge(g[0], at(g, k), k, at(g, k, k), k) for g, lengths in asked.items() if max(lengths) >= 2 * k}
+        k *= 2
+
+    # the parts of each length, from the newest on: (bars, shift)
+    frames: dict[tuple, list[tuple[int, int]]] = {}
+    for g, lengths in asked.items():
+        for n in lengths:
+            top = 1 << (n.bit_length() - 1)
+            if g[0] in ("min", "max"):
+                frames[g, n] = [(top, 0), (top, n - top)] if n > top else [(top, 0)]
+            else:
+                bits = [b for b in (1 << i for i in range(n.bit_length() - 1, -1, -1)) if n & b]
+                frames[g, n] = [(b, sum(bits[:i])) for i, b in enumerate(bits)]
+    moved = {f"{part(g, b)}_{shift}": at(g, b, shift) for (g, _), parts in frames.items() for b, shift in parts if shift}
+    df = df.withColumns(moved) if moved else df
+    made += moved
+    for step in range(1, max(len(p) for p in frames.values())):
+        level = {}
+        for (g, n), parts in frames.items():
+            if len(parts) > step:
+                b, shift = parts[step]
+                old = at(g, parts[0][0]) if step == 1 else F.col(f"_frame_{g[0]}_{g[1]}_{n}_{step - 1}")
+                level[f"_frame_{g[0]}_{g[1]}_{n}_{step}"] = _merge(g[0], old, shift, F.col(f"{part(g, b)}_{shift}"), b)
+        df = df.withColumns(level)
+        made += level
+
+    def value(kind, c, n):
+        g = (FAMILY[kind], c)
+        if g not in asked:
+            g = ("moments", c)
+        last = len(frames[g, n]) - 1
+        v = F.col(f"_frame_{g[0]}_{g[1]}_{n}_{last}") if last else at(g, n)
+        if kind == "mean":
+            return v["mean"] if g[0] == "moments" else v
+        if kind in ("std", "std_pop"):
+            count = n if kind == "std_pop" else n - 1
+            return F.sqrt(v["m2"] / count) if count else F.lit(None).cast("double")
+        return v
+
+    return df.withColumns({name: value(*spec) for name, spec in specs.items()}).drop(*made)
+
+
 def rzscore(c, n):
     return ratio(col(c) - sma(c, n), rstd(c, n))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import change, flag, log_ratio, ratio
-from tickloom.functions.rolling import rlist, rmax, rmin, rslope, rsum, sma
+from tickloom.functions.rolling import rlist, rmax, rmin, rslope, rsum, sliding, sma
 from tickloom.operators.panel import lagged, running, series
 
 H, L, V = "high", "low", "volume"
@@ -30,7 +30,7 @@ def one_return(df: DataFrame) -> DataFrame:
 
 
 def moving_averages(df: DataFrame, windows=(5, 10, 12, 20, 26, 50, 100, 200)) -> DataFrame:
-    df = df.withColumns({f"sma_{n}": sma("close", n) for n in windows})
+    df = sliding(df, {f"sma_{n}": ("mean", "close", n) for n in windows})
     cols = {f"price_sma_{n}_ratio": ratio("close", f"sma_{n}") for n in windows}
     for a, b in ((5, 20), (20, 50)):
         if a in windows and b in windows:
@@ -43,7 +43,7 @@ def moving_averages(df: DataFrame, windows=(5, 10, 12, 20, 26, 50, 100, 200)) ->
 def volume_features(df: DataFrame, windows=(10, 20)) -> DataFrame:
     """Volume averages, ratios, spikes, volume-price trend, trend confirmation."""
     df = one_return(df)
-    df = df.withColumns({f"volume_sma_{n}": sma(V, n) for n in (*windows, 50)})
+    df = sliding(df, {f"volume_sma_{n}": ("mean", V, n) for n in (*windows, 50)})
     cols = {f"volume_ratio_{n}": ratio(V, f"volume_sma_{n}") for n in windows}
     cols["volume_price_trend"] = F.col(V) * F.col("return_1")
     cols["volume_trend"] = change("volume_sma_20", lagged("volume_sma_20", 20))
@@ -84,7 +84,7 @@ def cumulative_volume(df: DataFrame) -> DataFrame:
 
 def extremes(df: DataFrame, windows=(5, 10, 20, 50)) -> DataFrame:
     """Rolling max / min of close and the relative and absolute distance to them."""
-    df = df.withColumns({f"rolling_max_{n}": rmax("close", n) for n in windows} | {f"rolling_min_{n}": rmin("close", n) for n in windows})
+    df = sliding(df, {f"rolling_{k}_{n}": (k, "close", n) for n in windows for k in ("max", "min")})
     cols = {}
     for n in windows:
         cols[f"close_to_max_{n}"] = change("close", f"rolling_max_{n}")

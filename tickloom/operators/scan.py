@@ -103,8 +103,6 @@ def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
     terms: dict[str, tuple[Ema, Column, int]] = {}
     for e in emas:
         terms[e.name] = (e, _input(e, F.col(e.x)), _block(e))
-        if e.seed == "weighted":
-            terms[f"{e.name}__w"] = (e, F.when(F.col(NO) >= e.start, 1.0).otherwise(0.0), _block(e))
     n = F.col(NO)
     sizes = sorted({size for _, _, size in terms.values()})
     def since(e: Ema, size: int) -> Column:
@@ -125,7 +123,10 @@ def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
 
     out = {}
     for e in emas:
-        y = ratio(value(e.name), value(f"{e.name}__w")) if e.seed == "weighted" else value(e.name)
+        y = value(e.name)
+        if e.seed == "weighted":  # the weights of k inputs sum up to (1 - d^k) / (1 - d)
+            k = n - e.start + 1
+            y = F.when(k == 1, y).otherwise(y * e.alpha / -F.expm1(F.lit(math.log(e.decay)) * k))
         out[e.name] = F.when(n >= (e.last_seed if e.seed == "mean" else e.start), y)
     return df.withColumns(out).drop(*[f"_{p}_{k}" for k in terms for p in "yc"])
 

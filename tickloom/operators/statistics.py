@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-from tickloom.functions.rolling import rank_in, rcorr, rkurt, rlist, roll, rskew, rzscore
+from tickloom.functions.expr import ratio
+from tickloom.functions.rolling import rank_in, rcorr, rkurt, rlist, roll, rskew, sliding
 from tickloom.operators.price import one_return
 
 
 def zscores(df: DataFrame, columns=("close", "volume"), n=20) -> DataFrame:
-    return df.withColumns({f"{c}_zscore": rzscore(c, n) for c in columns})
+    df = sliding(df, {f"_{k}_{c}": (k, c, n) for c in columns for k in ("mean", "std")})
+    cols = {f"{c}_zscore": ratio(F.col(c) - F.col(f"_mean_{c}"), f"_std_{c}") for c in columns}
+    return df.withColumns(cols).drop(*[f"_{k}_{c}" for c in columns for k in ("mean", "std")])
 
 
 def correlations(df: DataFrame, n=20) -> DataFrame:

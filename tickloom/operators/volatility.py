@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import flag, log_ratio, ratio
-from tickloom.functions.rolling import rank_in, rlist, rmax, rmin, roll, rstd, rstd_pop, sma
+from tickloom.functions.rolling import rank_in, rlist, rmax, rmin, roll, rstd, rstd_pop, sliding, sma
 from tickloom.operators.panel import lagged
 from tickloom.operators.price import one_return
 
@@ -18,14 +18,14 @@ YEAR = math.sqrt(252)
 def realised(df: DataFrame, windows=(5, 10, 20, 50)) -> DataFrame:
     """Std of returns, plain and annualised; close variation; volume std; vol of vol."""
     df = one_return(df)
-    cols = {f"volatility_{n}": rstd("return_1", n) for n in windows}
-    cols["volatility_custom_10"] = ratio(rstd("close", 10), sma("close", 10))
-    cols["volume_volatility_20"] = rstd("volume", 20)
-    df = df.withColumns(cols)
+    cols = {f"volatility_{n}": ("std", "return_1", n) for n in windows}
+    cols |= {"_sd": ("std", "close", 10), "_mean": ("mean", "close", 10), "volume_volatility_20": ("std", "volume", 20)}
+    df = sliding(df, cols).withColumn("volatility_custom_10", ratio("_sd", "_mean")).drop("_sd", "_mean")
     cols = {f"volatility_{n}_annual": F.col(f"volatility_{n}") * YEAR for n in windows if n >= 10}
+    df = df.withColumns(cols)
     if 20 in windows:
-        cols["vol_of_vol_20"] = rstd("volatility_20", 20)
-    return df.withColumns(cols)
+        df = sliding(df, {"vol_of_vol_20": ("std", "volatility_20", 20)})
+    return df
 
 
 def parkinson(df: DataFrame, n=20) -> DataFrame:
@@ -41,10 +41,10 @@ def vol_regime(df: DataFrame, n=20, m=100) -> DataFrame:
     """
     first = F.col("bar_no") == 0
     df = df.withColumn("_lr", F.when(first, 0.0).otherwise(log_ratio("close", lagged("close", 1))))
-    df = df.withColumn("_vol", rstd_pop("_lr", n))
+    df = sliding(df, {"_vol": ("std_pop", "_lr", n)})
     df = first_of_series(df, "_vol", "_vol0")
     df = df.withColumn("_volp", F.coalesce("_vol", "_vol0"))
-    df = df.withColumn("_ma", sma("_volp", m))
+    df = sliding(df, {"_ma": ("mean", "_volp", m)})
     df = first_of_series(df, "_ma", "_ma0")
     df = df.withColumn("_map", F.coalesce("_ma", "_ma0"))
     return df.withColumns(
