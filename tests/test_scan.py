@@ -1,6 +1,7 @@
 """Recursive features against pandas and plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import fetch, frame, same, walk
 
@@ -62,6 +63,27 @@ def test_too_little_warm_up_is_refused(spark):
         scan.scan(panel(frame(spark, walk(50)), 10), [scan.Ema("e", "close", 200)])
 
 
+@pytest.mark.parametrize("size", [1024, 65_536])
+def test_any_span_over_many_chunks(long, size):
+    """Spans far beyond the copied bars, without any copies and beside short ones."""
+    w, bars = long
+    spans = (300, 5_000, 40_000)
+    specs = [scan.Ema(f"{s}_{n}", "close", n, s) for n in spans for s in ("first", "weighted")]
+    specs += [scan.Ema("mean_7000", "close", 7_000, "mean")]
+    for d in (panel(bars, 0, size=size), panel(bars, 0, size=size, scans=True)):
+        more = [scan.Ema("first_20", "close", 20)] if d.schema["chunk"].metadata["back"] else []
+        got = fetch(settle(scan.scan(d, specs + more)), *[e.name for e in specs + more])
+        assert len(got) == len(w)
+        for n in spans + ((20,) if more else ()):
+            np.testing.assert_allclose(got[f"first_{n}"], w.close.ewm(span=n, adjust=False).mean(), rtol=1e-11)
+            if n != 20:
+                np.testing.assert_allclose(got[f"weighted_{n}"], w.close.ewm(span=n).mean(), rtol=1e-11)
+        x = w.close.to_numpy()
+        seeded = np.concatenate([[x[:7_000].mean()], x[7_000:]])
+        np.testing.assert_allclose(got["mean_7000"][6_999:], pd.Series(seeded).ewm(span=7_000, adjust=False).mean(), rtol=1e-11)
+        assert got["mean_7000"][:6_999].isna().all()
+
+
 def test_constant_and_single(spark):
     w = walk(300)
     w[["open", "high", "low", "close"]] = 50.0

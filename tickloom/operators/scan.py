@@ -11,21 +11,28 @@ is summed up and d = 1 - alpha afterwards. It needs no row loop and no join:
   left out is smaller than the rounding of one addition.
 
 All averages of a call share one window per block length and one per chunk.
+
+Averages that remember more than the copied bars go in three passes: each chunk is one
+affine map (factor, end value from nothing), the maps are applied one after the other
+over the chunk table in a streamed pass, and what comes in decays over the chunk.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import flag, ratio
-from tickloom.operators.panel import NO, block, lagged, layout, series
+from tickloom.operators.panel import CHUNK, COPY, KEY, NO, block, lagged, layout, series, upto
 
 # Block length by the longest span that may use it: length * |ln d| stays within (37, 650).
 BLOCK_OF = ((3, 256), (50, 1_024), (880, 16_384))
+FINITE = 650.0  # exp(650) times a price is a double
 FORGET = 40.0  # exp(-40) is below double precision
 
 
@@ -90,16 +97,78 @@ def _block(e: Ema) -> int:
     raise ValueError(f"span {e.span} is too long")
 
 
+def _apply_maps(names: list[str]):
+    """Value that comes in to each chunk, streamed by (series, chunk)."""
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, y = None, {}
+        for b in batches:
+            rows = []
+            for row in b.to_dict("records"):
+                if row[KEY] != key:
+                    key, y = row[KEY], dict.fromkeys(names, 0.0)
+                rows.append({KEY: key, CHUNK: row[CHUNK]} | {f"_c_{k}": y[k] for k in names})
+                y = {k: row[f"_a_{k}"] * y[k] + row[f"_b_{k}"] for k in names}
+            yield pd.DataFrame(rows, columns=[KEY, CHUNK, *[f"_c_{k}" for k in names]])
+
+    return call
+
+
+def _scan_far(df: DataFrame, emas: list[Ema]) -> DataFrame:
+    """Averages that need no copied bars; those get NULL. One row per chunk is scanned."""
+    size = layout(df)["size"]
+    n, names = F.col(NO), [e.name for e in emas]
+
+    def since(e: Ema) -> Column:
+        return _exponent(n, e) - _exponent(F.col(CHUNK) * size - 1, e)
+
+    local = {}
+    for e in emas:
+        d = F.lit(e.decay)
+        b = F.when(~F.col(COPY), _input(e, F.col(e.x)) * F.pow(d, -since(e))).otherwise(0.0)
+        local[f"_y_{e.name}"] = F.pow(d, since(e)) * F.sum(b).over(upto())
+    df = df.withColumns(local)
+    end = [F.max_by(F.pow(F.lit(e.decay), since(e)), n).alias(f"_a_{e.name}") for e in emas]
+    end += [F.max_by(f"_y_{e.name}", n).alias(f"_b_{e.name}") for e in emas]
+    maps = df.filter(~F.col(COPY)).groupBy(KEY, CHUNK).agg(*end)
+    maps = maps.repartition(KEY).sortWithinPartitions(KEY, CHUNK)
+    carried = maps.mapInPandas(_apply_maps(names), f"{KEY} string, {CHUNK} bigint, " + ", ".join(f"_c_{k} double" for k in names))
+    meta = df.schema[CHUNK].metadata
+    df = df.join(carried, [KEY, CHUNK], "left").withColumn(CHUNK, F.col(CHUNK).alias(CHUNK, metadata=meta))
+    out = {}
+    for e in emas:
+        y = F.col(f"_y_{e.name}") + F.pow(F.lit(e.decay), since(e)) * F.col(f"_c_{e.name}")
+        out[e.name] = F.when(~F.col(COPY), _seeded(e, y))
+    return df.withColumns(out).drop(*[f"_{p}_{k}" for k in names for p in "yc"])
+
+
+def _seeded(e: Ema, y: Column) -> Column:
+    """The average itself from the recursive sum: divided by its weights, missing before its seed."""
+    n = F.col(NO)
+    if e.seed == "weighted":  # the weights of k inputs sum up to (1 - d^k) / (1 - d)
+        k = n - e.start + 1
+        y = F.when(k == 1, y).otherwise(y * e.alpha / -F.expm1(F.lit(math.log(e.decay)) * k))
+    return F.when(n >= (e.last_seed if e.seed == "mean" else e.start), y)
+
+
 def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
-    """Add the exponential averages to a panel made with ``scans=True``.
+    """Add the exponential averages to a panel, of any span.
 
     Inputs are non-null from ``start`` on. Copied bars at the head of a chunk are warm-up
-    and only settle towards the home bars.
+    and only settle towards the home bars. ``scans=True`` copies enough for spans up to
+    200. A longer memory than what is copied goes over the chunk table, for which the
+    span must be long enough for its factors to stay finite over a chunk.
     """
     lay = layout(df)
-    need = max(reach(e) for e in emas)
-    if lay["back"] < need:
-        raise ValueError(f"the panel must copy at least {need} bars back (scans=True copies enough for spans up to 200)")
+    far = [e for e in emas if reach(e) > lay["back"]]
+    if far:
+        short = [e for e in far if lay["size"] * -math.log(e.decay) > FINITE]
+        if short:
+            raise ValueError(f"the panel must copy at least {max(map(reach, short))} bars back (scans=True copies enough for spans up to 200)")
+        df = _scan_far(df, far)
+        emas = [e for e in emas if e not in far]
+        if not emas:
+            return df
     terms: dict[str, tuple[Ema, Column, int]] = {}
     for e in emas:
         terms[e.name] = (e, _input(e, F.col(e.x)), _block(e))
@@ -123,11 +192,7 @@ def scan(df: DataFrame, emas: list[Ema]) -> DataFrame:
 
     out = {}
     for e in emas:
-        y = value(e.name)
-        if e.seed == "weighted":  # the weights of k inputs sum up to (1 - d^k) / (1 - d)
-            k = n - e.start + 1
-            y = F.when(k == 1, y).otherwise(y * e.alpha / -F.expm1(F.lit(math.log(e.decay)) * k))
-        out[e.name] = F.when(n >= (e.last_seed if e.seed == "mean" else e.start), y)
+        out[e.name] = _seeded(e, value(e.name))
     return df.withColumns(out).drop(*[f"_{p}_{k}" for k in terms for p in "yc"])
 
 
