@@ -494,7 +494,7 @@ _POS = (
 @query(
     "portfolio_risk_constraints",
     _copy(_POS)
-    .cte("SELECT portfolio, portfolio_risk, total AS total_exposure, mx / total AS position_concentration, 0.1 * CASE WHEN portfolio_risk > 0.01 THEN 0.01 / portfolio_risk ELSE 1 END AS adjusted_size FROM pr WHERE n < 6")
+    .cte("SELECT portfolio, portfolio_risk, total AS total_exposure, mx / total AS position_concentration, 0.1 * CASE WHEN portfolio_risk > 0.0058 THEN 0.0058 / portfolio_risk ELSE 1 END AS adjusted_size FROM pr WHERE n < 6")
     .out("portfolio_risk total_exposure position_concentration adjusted_size", keys="portfolio"),
 )
 def q_portfolio_risk(spark, sf):
@@ -502,7 +502,7 @@ def q_portfolio_risk(spark, sf):
     corr = risk.pair_stats(order_returns(spark, sf), asset_pairs(spark, sf))
     r = risk.portfolio_risk(pos, corr)
     new = pos.select("portfolio").distinct().withColumn("size", F.lit(0.1))
-    adj = risk.portfolio_constraints(new, r, pos, max_positions=6, limit=0.01)
+    adj = risk.portfolio_constraints(new, r, pos, max_positions=6, limit=0.0058)
     m = pos.groupBy("portfolio").agg(F.sum("size").alias("total_exposure"), ratio(F.max("size"), F.sum("size")).alias("position_concentration"))
     return finish(adj.join(m, "portfolio"), "portfolio_risk", "total_exposure", "position_concentration", "adjusted_size", keys=("portfolio",))
 

@@ -116,3 +116,9 @@ def q_atr(spark, sf):
 )
 def q_adx(spark, sf):
     return finish(settle(scan.adx(ev(spark, sf, 2, scans=True))), "plus_di", "minus_di", "adx_14")
+
+
+@query("long_span_averages", Sql(SUPPLY).number().step(ema_400=ema("close", 400), wema_1000=ema("close", 1000, "weighted")).out("ema_400 wema_1000"))
+def q_long_spans(spark, sf):
+    d = scan.scan(sup(spark, sf, 0), [scan.Ema("ema_400", "close", 400), scan.Ema("wema_1000", "close", 1000, "weighted")])
+    return finish(settle(d), "ema_400", "wema_1000")

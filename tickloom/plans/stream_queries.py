@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.expr import change, ratio
+from tickloom.functions.expr import change, epoch, ratio
 from tickloom.operators import cross, models
 from tickloom.operators.panel import panel
 from tickloom.plans.datasets import SIZE, event_bars, finish, table
@@ -163,13 +163,32 @@ def q_stream_drift(spark, sf):
     return finish(spark.read.parquet(out), "tp", "fp", "fn", "tn", "f1", keys=("period",))
 
 
-@query("stream_late_audit", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS late, max(ts) AS max_ts FROM events")
+# Arrival: every 50th event reaches the landing folder a day late, a file holds a week.
+_WEEK = "floor((epoch(ts) + CASE WHEN event_id % 50 = 0 THEN 86400 ELSE 0 END) / 604800)"
+
+
+def weekly_files(spark, sf):
+    """The ticks written in the order of their arrival, one file a week."""
+    path = work_dir(spark, "landing")
+    lag = F.when(F.col("event_id") % 50 == 0, 86_400).otherwise(0)
+    week = F.floor((epoch("ts") + lag) / 604_800)
+    d = table(spark, sf, "events").withColumn("_week", week)
+    for (k,) in d.select("_week").distinct().orderBy("_week").collect():
+        d.filter(F.col("_week") == k).drop("_week").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(
+    "stream_late_audit",
+    f"WITH x AS (SELECT ts, {_WEEK} AS w FROM events), m AS (SELECT w, max(ts) AS mt FROM x GROUP BY w), p AS (SELECT w, max(mt) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m)"
+    " SELECT row_number() OVER (ORDER BY p.w) - 1 AS batch, count(*) AS rows, count(*) FILTER (ts < top - INTERVAL 600 SECONDS) AS late, greatest(max(ts), max(top)) AS max_ts FROM x JOIN p USING (w) GROUP BY p.w",
+)
 def q_late(spark, sf):
     empty = prepare(spark).createDataFrame([], "rows bigint, late bigint, max_ts timestamp_ntz")
     out = work_dir(spark, "late")
-    run_batches(ticks(spark, sf), "late", monitor.late_audit(out, 600, empty))
-    d = spark.read.parquet(out).agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"), F.max("max_ts").alias("max_ts"))
-    return finish(d, "rows", "late", "max_ts", keys=())
+    run_batches(tick_stream(spark, weekly_files(spark, sf), TICK, 1), "late", monitor.late_audit(out, 600, empty))
+    d = spark.read.parquet(out).withColumn("batch", F.col("batch").cast("bigint"))
+    return finish(d, "rows", "late", "max_ts", keys=("batch",))
 
 
 @query(

@@ -40,17 +40,18 @@ def drift_log(out: str):
 def late_audit(out: str, delay_seconds: int, empty: DataFrame):
     """Rows behind the watermark the earlier batches had reached.
 
-    ``empty`` supplies the schema before the first batch is stored.
+    A batch stores the largest time so far, so the next one opens one row, not all
+    earlier folders. ``empty`` supplies the schema before the first batch is stored.
     """
 
     def each(batch: DataFrame, i: int) -> None:
-        spark = batch.sparkSession
-        seen = empty if i == 0 else spark.read.schema(empty.schema).parquet(*[f"{out}/batch={k}" for k in range(i)])
+        seen = empty if i == 0 else batch.sparkSession.read.schema(empty.schema).parquet(f"{out}/batch={i - 1}")
         top = seen.agg(F.max("max_ts").alias("_top"))
         d = batch.crossJoin(F.broadcast(top))  # one-row side
         late = F.coalesce(epoch("ts") < epoch("_top") - delay_seconds, F.lit(False))
-        g = d.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"), F.max("ts").cast("timestamp_ntz").alias("max_ts"))
-        _store(g, out, i)
+        newest = F.greatest(F.max(F.col("ts").cast("timestamp_ntz")), F.max("_top"))
+        g = d.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"), newest.alias("max_ts"))
+        _store(g.coalesce(1), out, i)
 
     return each
 
