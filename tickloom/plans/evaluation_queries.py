@@ -30,18 +30,22 @@ def _sig(base):
     return Sql(base).number().step(_m=roll("avg", "close", 10)).step(signal=SIG).cte("SELECT symbol, ts, bar_no, open, high, low, close, volume, signal FROM {last}", "sg")
 
 
+_peak = "greatest(w.peak, w.side * g.close)"
+
+
 def _walk(s, exits, price="g.close"):
     """Bar-by-bar recursion over all series at once; exits: ordered (reason, condition, price)."""
     cond = " ".join(f"WHEN {c} THEN '{r}'" for r, c, _ in exits)
     xprice = " ".join(f"WHEN {c} THEN {p}" for _, c, p in exits)
-    body = f"""SELECT DISTINCT symbol, CAST(-1 AS BIGINT) AS bar_no, 0 AS side, CAST(0 AS DOUBLE) AS entry, CAST(-1 AS BIGINT) AS eno, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS px, 0 AS was FROM sg
+    body = f"""SELECT DISTINCT symbol, CAST(-1 AS BIGINT) AS bar_no, 0 AS side, CAST(0 AS DOUBLE) AS entry, CAST(-1 AS BIGINT) AS eno, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS px, 0 AS was, CAST(0 AS DOUBLE) AS peak FROM sg
  UNION ALL
  SELECT w.symbol, g.bar_no,
  CASE WHEN w.side = 0 THEN g.signal WHEN (CASE {cond} END) IS NOT NULL THEN 0 ELSE w.side END,
  CASE WHEN w.side = 0 THEN g.close ELSE w.entry END,
  CASE WHEN w.side = 0 THEN g.bar_no ELSE w.eno END,
  CASE WHEN w.side <> 0 THEN (CASE {cond} END) END,
- CASE WHEN w.side <> 0 THEN (CASE {xprice} END) END, w.side
+ CASE WHEN w.side <> 0 THEN (CASE {xprice} END) END, w.side,
+ CASE WHEN w.side = 0 THEN g.signal * g.close ELSE {_peak} END
  FROM walk w JOIN sg g ON g.symbol = w.symbol AND g.bar_no = w.bar_no + 1"""
     s.cte(body, "walk")
     s.cte(
@@ -55,7 +59,7 @@ def _walk(s, exits, price="g.close"):
 _gain = "w.side * (g.close - w.entry)"
 
 
-def _rule_sql(base, stop, take, hold=None, off=False, extremes=False):
+def _rule_sql(base, stop, take, hold=None, off=False, extremes=False, trail=None):
     worst = best = _gain
     sp = tp = "g.close"
     if extremes:
@@ -63,6 +67,8 @@ def _rule_sql(base, stop, take, hold=None, off=False, extremes=False):
         best = "w.side * ((CASE WHEN w.side > 0 THEN g.high ELSE g.low END) - w.entry)"
         sp, tp = f"w.entry - w.side * ({stop} * w.entry)", f"w.entry + w.side * ({take} * w.entry)"
     ex = [("stop_loss", f"{worst} <= -({stop}::DOUBLE * w.entry)", sp), ("take_profit", f"{best} >= {take}::DOUBLE * w.entry", tp)]
+    if trail:
+        ex.append(("trailing_stop", f"w.side * g.close <= {_peak} - abs({_peak}) * {trail}::DOUBLE", "g.close"))
     if hold:
         ex.append(("time_exit", f"g.bar_no - w.eno >= {hold}", "g.close"))
     if off:
@@ -103,6 +109,11 @@ def q_trades_free(spark, sf):
     return finish(t, *T_OUT[0].split(), *T_OUT[1].split(), keys=("symbol",))
 
 
+@query("trades_percent_trail", _rule_sql(SUPPLY, 0.9, 8.0, trail=0.6).out(*T_OUT, keys="symbol"))
+def q_trades_trail(spark, sf):
+    return finish(trades_of(spark, sf, trades.Exit(stop=0.9, take=8.0, trail=0.6)), *T_OUT[0].split(), *T_OUT[1].split(), keys=("symbol",))
+
+
 @query("trades_trailing_exits")
 def q_trades_trailing(spark, sf):
     d = scan.atr(with_signal(ev(spark, sf, 12, scans=True)), (14,)).withColumn("momentum", F.col("close") - lagged("close", 10))
