@@ -112,6 +112,30 @@ def period_mode(periods: DataFrame, points: DataFrame, label: str, bucket_second
     return n.groupBy(*keys).agg(F.min_by("_label", F.struct(-F.col("_n"), F.col("_label"))).alias(label))
 
 
+def period_label(periods: DataFrame, points: DataFrame, label: str, labels: list[str], width_seconds: int = 30 * 86400) -> DataFrame:
+    """Most frequent label of a series' own points inside each of its periods (smallest on ties).
+
+    periods: (symbol, start, end), both ends included, possibly overlapping and of any
+    length. Points and the ends of the periods are interleaved in time buckets per symbol,
+    one running count per label passes over them, and a period's counts are the difference
+    at its two ends: nothing is repeated per bucket or per point. A period without points
+    (or with labels outside ``labels``) has no label.
+    """
+    names = sorted(labels)
+    counts = [f"_c{i}" for i in range(len(names))]
+    key = F.struct("start", "end").alias("_p")
+    x = points.select(KEY, F.col("ts").cast("timestamp_ntz").alias("ts"), F.col(label).alias("_label"), F.lit(1).alias("_side"))
+    for side, c in ((0, "start"), (2, "end")):
+        x = x.unionByName(periods.select(KEY, F.col(c).cast("timestamp_ntz").alias("ts"), key, F.lit(side).alias("_side")), allowMissingColumns=True)
+    x = with_blocks(x.withColumns({CHUNK: F.floor(epoch("ts") / width_seconds), NO: epoch_us("ts") * 4 + F.col("_side"), COPY: F.lit(False)}))
+    x = running(x, {c: ("sum", F.when(F.col("_label") == n, 1).otherwise(0)) for c, n in zip(counts, names)})
+    sign = F.col("_side") - 1
+    g = x.filter("_side <> 1").groupBy(KEY, "_p").agg(*[F.sum(F.col(c) * sign).alias(c) for c in counts])
+    top = F.greatest(*counts) if len(counts) > 1 else F.col(counts[0])
+    best = F.coalesce(*[F.when((F.col(c) == top) & (top > 0), F.lit(n)) for c, n in zip(counts, names)])
+    return g.select(KEY, "_p.start", "_p.end", best.alias(label))
+
+
 def attach_market(scores: DataFrame, market: DataFrame, columns: list[str]) -> DataFrame:
     """Market columns next to each score (equi-join on symbol and time)."""
     return scores.join(market.select("symbol", "ts", *columns), ["symbol", "ts"], "left")

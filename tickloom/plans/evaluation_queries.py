@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import change, ratio
 from tickloom.functions.rolling import rstd, sma
-from tickloom.operators import labels, performance, risk, robust, scan, trades
+from tickloom.operators import cross, labels, performance, regime, risk, robust, scan, trades
 from tickloom.operators.panel import lagged, panel, respread, running, settle
-from tickloom.plans.context_queries import _copy
+from tickloom.plans.context_queries import _QR, _copy
 from tickloom.plans.datasets import SIZE, event_bars, finish, order_bars, supply_bars
 from tickloom.plans.feature_queries import _tr, ev, sup
 from tickloom.plans.registry import query
@@ -651,6 +652,17 @@ def _boot_sql(q):
     )
 
 
+def _boot_each_sql(q):
+    """Adds one bootstrap per series of the trades in q.last."""
+    return (
+        q.cte("SELECT symbol, pnl_pct AS pnl, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts) - 1 AS no, count(*) OVER (PARTITION BY symbol) AS n FROM {last}", "t")
+        .cte("SELECT symbol, n, sim, unnest(range(n)) AS d FROM (SELECT DISTINCT symbol, n FROM t), (SELECT unnest(range(1000)) AS sim)", "dd")
+        .cte("SELECT symbol, sim, CAST('0x' || substr(md5(concat('42:', symbol, ':', sim, ':', d)), 1, 12) AS BIGINT) % n AS no FROM dd", "dr")
+        .cte("SELECT symbol, sim, sum(pnl) AS total FROM dr JOIN t USING (symbol, no) GROUP BY 1, 2", "tt")
+        .cte("SELECT symbol, avg(total) AS mc_mean, stddev_pop(total) AS mc_std, coalesce(avg(total) / nullif(stddev_pop(total), 0), 0) AS mc_sharpe, quantile_cont(total, 0.05) AS mc_var_95, quantile_cont(total, 0.01) AS mc_var_99, avg(CAST(total > 0 AS DOUBLE)) AS mc_positive_prob FROM tt GROUP BY 1", "mc")
+    )
+
+
 _BOOT = _boot_sql(_copy(_TR))
 
 
@@ -664,6 +676,16 @@ def q_bootstrap(spark, sf):
     return finish(robust.bootstrap(pooled(spark, sf)).withColumn("sims", F.lit(1000)), *MC.split(), keys=("sims",))
 
 
+def each_bootstrap(spark, sf):
+    t = settled(spark, sf).select("symbol", F.col("entry_ts").alias("ts"), F.col("pnl_pct").alias("pnl"))
+    return robust.bootstrap(t, ["symbol"])
+
+
+@query("bootstrap_by_symbol", _boot_each_sql(_copy(_TR)).out(MC, keys="symbol", digits=3))
+def q_bootstrap_each(spark, sf):
+    return finish(each_bootstrap(spark, sf), *MC.split(), keys=("symbol",), digits=3)
+
+
 _CRIT = ["sufficient_trades", "sharpe_ratio", "win_rate_level", "drawdown_level", "return_consistency", "win_rate_consistency", "monte_carlo", "statistical_significance"]
 _CSQL = {
     "sufficient_trades": "trades_mean >= 20",
@@ -680,7 +702,7 @@ _CSQL = {
 def _vsql():
     s = _copy(_MET)
     metrics, s.last = s.last, _TR.last
-    last = _boot_sql(s).cte(f"SELECT * FROM {metrics}, mc").last
+    last = _boot_each_sql(s).cte(f"SELECT * FROM {metrics} JOIN mc USING (symbol)").last
     gs = f"CASE WHEN trades_mean >= 20 AND p_value <= 0.05 AND {_CSQL['monte_carlo']} THEN 0.3 * greatest(0, coalesce(1 - return_cv / 2, 0)) + 0.2 + 0.15 * greatest(0, coalesce(1 - win_rate_std / 0.2, 0)) + 0.1 * greatest(0, coalesce(1 - trades_cv / 2, 0)) + 0.15 * greatest(0, coalesce(1 - drawdown_cv / 1.0, 0)) + 0.1 * greatest(0, coalesce(1 - abs(1 - long_short_balance), 0)) ELSE 0 END"
     s.cte(" UNION ALL ".join(f"SELECT symbol, '{c}' AS criterion, CAST(coalesce({e}, false) AS INTEGER) AS passed, {gs} AS gated_score FROM {last}" for c, e in _CSQL.items()))
     return s.out("gated_score", "passed", keys="symbol criterion", digits=3)
@@ -689,7 +711,7 @@ def _vsql():
 @query("robustness_validation", _vsql())
 def q_validation(spark, sf):
     m = materialise(robust.run_metrics(runs(spark, sf), ["symbol"]), "metrics")
-    m = m.crossJoin(F.broadcast(robust.bootstrap(pooled(spark, sf))))  # one row
+    m = m.join(each_bootstrap(spark, sf), "symbol")
     m = m.withColumn("gated_score", robust.gated_score())
     return finish(robust.validation_table(m, ["symbol", "gated_score"]), "gated_score", "passed", keys=("symbol", "criterion"), digits=3)
 
@@ -714,26 +736,40 @@ WT = "train_start train_end test_start test_end"
 
 @query(
     "walk_forward_windows",
-    "WITH n AS (SELECT event_type AS symbol, count(DISTINCT date_trunc('hour', ts)) AS n FROM events GROUP BY 1) SELECT symbol, k AS \"window\", k * 50 AS train_start, k * 50 + 200 AS train_end, k * 50 + 210 AS test_start, k * 50 + 260 AS test_end FROM n, (SELECT unnest(range(100000)) AS k) WHERE k * 50 + 260 <= n",
+    "WITH n AS (SELECT event_type AS symbol, count(DISTINCT date_trunc('hour', ts)) AS n FROM events GROUP BY 1) SELECT symbol, k AS \"window\", k * 260 AS train_start, k * 260 + 200 AS train_end, k * 260 + 210 AS test_start, k * 260 + 260 AS test_end FROM n, (SELECT unnest(range(100000)) AS k) WHERE k * 260 + 260 <= n",
 )
 def q_windows(spark, sf):
     return finish(robust.window_table(event_bars(spark, sf), 200, 50, 10), *WT.split(), keys=("symbol", "window"))
 
 
-_WF = _three(
-    lambda q: q.cte("SELECT unnest(range((SELECT max(exit_no) FROM runs) // 50 + 1)) AS k", "ks")
-    .cte(
-        "SELECT r.*, k AS win, 'train' AS role FROM runs r, ks WHERE entry_no >= k * 50 AND exit_no < k * 50 + 200 UNION ALL SELECT r.*, k, 'test' FROM runs r, ks WHERE entry_no >= k * 50 + 210 AND exit_no < k * 50 + 260",
-        "wf",
-    )
+@query(
+    "expanding_windows",
+    "WITH n AS (SELECT event_type AS symbol, count(DISTINCT date_trunc('hour', ts)) AS n FROM events GROUP BY 1) SELECT symbol, k AS \"window\", CAST(0 AS BIGINT) AS train_start, k * 50 + 200 AS train_end, k * 50 + 210 AS test_start, k * 50 + 260 AS test_end FROM n, (SELECT unnest(range(100000)) AS k) WHERE k * 50 + 260 <= n",
 )
+def q_expanding_windows(spark, sf):
+    return finish(robust.window_table(event_bars(spark, sf), 200, 50, 10, expanding=True), *WT.split(), keys=("symbol", "window"))
+
+
+def _wf_sql(step, first):
+    """Trades that lie whole in the train or test part of a complete window; first: start of the train part."""
+    return _three(
+        lambda q: q.cte("SELECT symbol, count(*) AS bars FROM b GROUP BY 1", "nb")
+        .cte(f"SELECT symbol, unnest(range((bars - 260) // {step} + 1)) AS k FROM nb WHERE bars >= 260", "ks")
+        .cte(
+            f"SELECT r.*, k AS win, 'train' AS role FROM runs r JOIN ks USING (symbol) WHERE entry_no >= {first} AND exit_no < k * {step} + 200"
+            f" UNION ALL SELECT r.*, k, 'test' FROM runs r JOIN ks USING (symbol) WHERE entry_no >= k * {step} + 210 AND exit_no < k * {step} + 260",
+            "wf",
+        )
+    )
 
 
-def wf(spark, sf):
-    return robust.walk_forward(run_scores(spark, sf), 200, 50, 10)
+def wf(spark, sf, expanding=False):
+    bars = sup(spark, sf, 0).filter("not is_copy").select("symbol")
+    return robust.walk_forward(run_scores(spark, sf), bars, 200, 50, 10, expanding)
 
 
-_WFM = _WF.cte(f'SELECT param_id, win AS "window", role, {_ME}, avg(pnl_pct) / nullif(stddev_pop(pnl_pct), 0) AS sharpe FROM {{last}} GROUP BY 1, 2, 3', "wm")
+_WFG = f'SELECT param_id, win AS "window", role, {_ME}, avg(pnl_pct) / nullif(stddev_pop(pnl_pct), 0) AS sharpe FROM {{last}} GROUP BY 1, 2, 3'
+_WFM = _wf_sql(260, "k * 260").cte(_WFG, "wm")
 
 
 @query("walk_forward_metrics", _copy(_WFM).out(ME + " sharpe", "trades role", keys='param_id "window"', digits=3))
@@ -741,6 +777,11 @@ def q_wf(spark, sf):
     return finish(wf(spark, sf), *ME.split(), "sharpe", "trades", "role", keys=("param_id", "window"), digits=3)
 
 
+@query("expanding_walk_forward", _wf_sql(50, "0").cte(_WFG, "wm").out(ME + " sharpe", "trades role", keys='param_id "window"', digits=3))
+def q_wf_expanding(spark, sf):
+    return finish(wf(spark, sf, True), *ME.split(), "sharpe", "trades", "role", keys=("param_id", "window"), digits=3)
+
+
 SW = "avg_test_sharpe std_test_sharpe avg_test_pnl avg_test_win_rate sharpe_ratio_test_train"
 AC = "windows enough_trades enough_sharpe near_train accepted"
 
@@ -782,14 +823,36 @@ def q_relaxed(spark, sf):
     return finish(robust.relaxed_best(robust.at_levels(r, RELAXED)), "score", "trades", keys=("level", "param_id"))
 
 
+SIX = [f"{v}_{t}" for v in ("volatile", "low_vol") for t in ("bullish", "bearish", "sideways")]
+
+
+def _regime_sql():
+    """Runs with the regime most bars of their series had in their year."""
+    q = _copy(_RUNS)
+    n = len(_QR.ctes)
+    own = {f"s{i}": f"g{i}" for i in range(n)} | {"q": "gq"}
+
+    def renamed(text):
+        return re.sub(r"\b(s\d+|q)\b(?! *=)", lambda m: own.get(m[0], m[0]), text)
+
+    q.ctes += [renamed(c) for c in _QR.ctes if not c.startswith("b AS")]
+    q.cte(f"SELECT symbol, date_trunc('year', ts) AS period, regime, count(*) AS n FROM {own[_QR.last]} GROUP BY 1, 2, 3")
+    q.cte("SELECT symbol, period, arg_min(regime, (-n, regime)) AS regime FROM {last} GROUP BY 1, 2", "rg")
+    return q.cte("SELECT rn.*, rg.regime FROM rn LEFT JOIN rg USING (symbol, period)")
+
+
 @query(
     "regime_run_metrics",
-    _copy(_RUNS)
-    .cte("SELECT *, CASE WHEN total_trades > 20 THEN 'busy' ELSE 'calm' END AS regime FROM {last}")
+    _regime_sql()
     .cte("SELECT regime, count(*) AS runs, avg(pnl_total) AS return_mean, stddev_pop(pnl_total) AS return_std, avg(win_rate) AS win_rate, coalesce(avg(pnl_total) / nullif(stddev_pop(pnl_total), 0), 0) AS sharpe FROM {last} GROUP BY 1")
     .step(regime_consistency="stddev_pop(return_mean) OVER () / nullif(abs(avg(return_mean) OVER ()), 0)")
     .out("return_mean return_std win_rate sharpe regime_consistency", "runs", keys="regime", digits=3),
 )
 def q_regime_runs(spark, sf):
-    d = runs(spark, sf).withColumn("regime", F.when(F.col("total_trades") > 20, "busy").otherwise("calm"))
+    r = materialise(runs(spark, sf), "runs").withColumns({"start": F.col("period"), "end": F.col("period") + F.expr("interval 1 year") - F.expr("interval 1 day")})
+    points = regime.quantile_regime(sup(spark, sf, 50))
+    if "is_copy" in points.columns:
+        points = points.filter(~F.col("is_copy"))
+    found = cross.period_label(r.select("symbol", "start", "end").distinct(), points, "regime", SIX)
+    d = r.join(found, ["symbol", "start", "end"], "left")
     return finish(robust.regime_metrics(d), "return_mean", "return_std", "win_rate", "sharpe", "regime_consistency", "runs", keys=("regime",), digits=3)
