@@ -93,3 +93,53 @@ def test_restart_from_the_checkpoint(spark):
     above = (fast - slow) > (fast - slow).ewm(span=9, adjust=False).mean()
     turns = (above != above.shift(fill_value=above[0])).cumsum()
     assert d.position.tolist() == np.where(turns % 2 == 0, 0, np.where(above, 1, -1)).tolist()
+
+
+def test_drawdown_over_batches_and_a_repeated_one(spark):
+    """The peak of an earlier batch counts, another series is not touched, a repeat changes nothing."""
+    def bars(*rows):
+        return spark.createDataFrame([(s, t(h), c) for s, h, c in rows], "symbol string, ts timestamp, close double")
+
+    out = work_dir(spark, "drawdown")
+    each = monitor.drawdown_alerts(out, 0.1, width_seconds=7200)
+    parts = [bars(("a", 0, 100.0), ("a", 1, 95.0), ("b", 0, 10.0)), bars(("a", 2, 89.0), ("a", 3, 120.0), ("a", 9, 109.0), ("a", 12, 107.5)), bars(("b", 13, 9.5), ("b", 14, None), ("a", 13, 107.0))]
+    for i, p in enumerate(parts):
+        each(p, i)
+    each(parts[2], 2)
+    got = sorted((r.symbol, r.ts.hour, r.close, r.peak) for r in spark.read.parquet(f"{out}/alerts").collect())
+    assert got == [("a", 2, 89.0, 100.0), ("a", 12, 107.5, 120.0), ("a", 13, 107.0, 120.0)]
+
+
+def test_correlation_over_batches(spark):
+    """Merged moments equal those of all rows, with a large common level; the limit fires for one pair only."""
+    r = np.random.default_rng(4)
+    n = 90
+    x = r.normal(1000, 1, n)
+    moves = {"a": x, "b": x + r.normal(0, 0.2, n), "c": r.normal(5, 1, n)}
+    hours = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=k) for k in range(n)]
+    rows = [(s, hours[k], 1.0, 1.0 + float(v[k])) for s, v in moves.items() for k in range(n)]
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "a string, b string")
+    out = work_dir(spark, "correlation")
+    each = monitor.correlation_alerts(out, pairs, 0.8, least=30)
+    cut = [0, 20, 21, 90]
+    for i in range(3):
+        part = [q for q in rows if cut[i] <= hours.index(q[1]) < cut[i + 1]]
+        each(spark.createDataFrame(part, "symbol string, ts timestamp, open double, close double"), i)
+    got = {(q.batch, q.a, q.b): q for q in spark.read.parquet(f"{out}/alerts").collect()}
+    assert {k for k, q in got.items() if q.alert} == {(2, "a", "b")}
+    for (i, a, b), q in got.items():
+        assert q.n == cut[i + 1]
+        np.testing.assert_allclose(q["corr"], np.corrcoef(moves[a][: q.n], moves[b][: q.n])[0, 1], rtol=1e-6)
+
+
+def test_degradation_is_held_against_the_last_accepted_batch(spark):
+    def scored(tp, fp, fn):
+        return spark.createDataFrame([(1, 1)] * tp + [(0, 1)] * fp + [(1, 0)] * fn, "y_true int, y_pred int")
+
+    out = work_dir(spark, "degradation")
+    each = monitor.degradation_alerts(out, 0.2)
+    for i, p in enumerate([scored(9, 1, 1), scored(6, 4, 4), scored(8, 2, 2), scored(6, 3, 3)]):  # f1: 0.9, 0.6, 0.8, 0.667
+        each(p, i)
+    got = spark.read.schema(monitor.JUDGED).parquet(out).orderBy("period").collect()
+    assert [r.drift for r in got] == [0, 1, 0, 0]
+    assert [r.reference and round(r.reference, 6) for r in got] == [None, 0.9, 0.9, 0.8]

@@ -169,15 +169,26 @@ _WEEK = "floor((epoch(ts) + CASE WHEN event_id % 50 = 0 THEN 86400 ELSE 0 END) /
 
 def weekly_files(spark, sf):
     """The ticks written in the order of their arrival, one file a week."""
-    path = work_dir(spark, "landing")
     lag = F.when(F.col("event_id") % 50 == 0, 86_400).otherwise(0)
-    week = F.floor((epoch("ts") + lag) / 604_800)
-    d = table(spark, sf, "events").withColumn("_week", week)
-    for (k,) in d.select("_week").distinct().orderBy("_week").collect():
-        d.filter(F.col("_week") == k).drop("_week").coalesce(1).write.mode("append").parquet(path)
+    return landed(spark, table(spark, sf, "events"), F.floor((epoch("ts") + lag) / 604_800))
+
+
+def landed(spark, d, part):
+    """A folder that got one file for each of the few values of ``part``, in their order."""
+    path = work_dir(spark, "landing")
+    d = d.withColumn("_part", part)
+    for (k,) in d.select("_part").distinct().orderBy("_part").collect():
+        d.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+def weekly_bars(spark, sf):
+    """Stream of the closed bars, a batch a week."""
+    bars, _ = closed(spark, sf)
+    path = landed(spark, bars, F.floor(F.unix_timestamp("ts") / 604_800))
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "stream_late_audit",
     f"WITH x AS (SELECT ts, {_WEEK} AS w FROM events), m AS (SELECT w, max(ts) AS mt FROM x GROUP BY w), p AS (SELECT w, max(mt) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m)"
@@ -200,3 +211,53 @@ def q_alerts(spark, sf):
     out = work_dir(spark, "alerts")
     run_batches(spark.readStream.schema(bars.schema).parquet(path), "alerts", monitor.alerts(out, {"deep_fall": "close < open * 0.2", "busy": "volume > 8"}))
     return finish(ntz(spark.read.parquet(out), "ts"), "close", "alert")
+
+
+@query(
+    "stream_drawdown_alerts",
+    _copy(_CLOSED).step(peak=f"max(close) {U}").step(drawdown="close / peak - 1").cte("SELECT * FROM {last} WHERE drawdown <= -0.9").out("close peak drawdown"),
+)
+def q_drawdown_alerts(spark, sf):
+    out = work_dir(spark, "drawdown-alerts")
+    run_batches(weekly_bars(spark, sf), "drawdown-alerts", monitor.drawdown_alerts(out, 0.9))
+    return finish(spark.read.parquet(f"{out}/alerts"), "close", "peak", "drawdown")
+
+
+@query(
+    "stream_correlation_alerts",
+    _copy(_CLOSED)
+    .step(_m="close / nullif(open, 0) - 1", _w="floor(epoch(ts) / 604800)")
+    .cte("SELECT _w, row_number() OVER (ORDER BY _w) - 1 AS batch FROM (SELECT DISTINCT _w FROM {last})", "wk")
+    .cte("SELECT x.symbol AS a, y.symbol AS b, x._w, x._m AS mx, y._m AS my FROM s2 x JOIN s2 y ON x.ts = y.ts AND x.symbol < y.symbol WHERE x._m IS NOT NULL AND y._m IS NOT NULL", "pw")
+    .cte("SELECT wk.batch, a, b, count(*) AS n, corr(mx, my) AS corr FROM pw JOIN wk ON pw._w <= wk._w GROUP BY 1, 2, 3")
+    .step(alert="CAST(n >= 30 AND abs(corr) > 0.03 AS INTEGER)")
+    .out("corr", "n alert", keys="batch a b"),
+)
+def q_correlation_alerts(spark, sf):
+    out = work_dir(spark, "correlation-alerts")
+    types = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct()
+    pairs = types.alias("x").join(types.alias("y"), F.col("x.symbol") < F.col("y.symbol")).select(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b"))
+    run_batches(weekly_bars(spark, sf), "correlation-alerts", monitor.correlation_alerts(out, pairs, 0.03))
+    d = spark.read.parquet(f"{out}/alerts").withColumn("batch", F.col("batch").cast("bigint"))
+    return finish(d, "corr", "n", "alert", keys=("batch", "a", "b"))
+
+
+@query(
+    "stream_degradation_alerts",
+    "WITH RECURSIVE "
+    + f"{DOCS}, x AS (SELECT *, doc_id * 6 // ((SELECT max(doc_id) FROM documents) + 1) AS k FROM d), pd AS ({_rates('k', 'y_prob > 0.3', 'x')}),"
+    + " w AS (SELECT CAST(0 AS BIGINT) AS period, tp, fp, fn, tn, f1, CAST(NULL AS DOUBLE) AS reference, 0 AS drift, f1 AS accepted FROM pd WHERE k = 0"
+    + " UNION ALL SELECT w.period + 1, pd.tp, pd.fp, pd.fn, pd.tn, pd.f1, w.accepted, CASE WHEN w.accepted - pd.f1 > 0.03 THEN 1 ELSE 0 END, CASE WHEN w.accepted - pd.f1 > 0.03 THEN w.accepted ELSE pd.f1 END FROM w JOIN pd ON pd.k = w.period + 1)"
+    + " SELECT period, tp, fp, fn, tn, drift, "
+    + ", ".join(f"round({c} * 1.00000000001::DOUBLE, 6) + 0 AS {c}" for c in ("f1", "reference", "accepted"))
+    + " FROM w",
+)
+def q_degradation_alerts(spark, sf):
+    docs = prepare(spark).read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars")
+    top = docs.agg(F.max("doc_id").alias("_top"))
+    files = landed(spark, docs.crossJoin(F.broadcast(top)), F.floor(F.col("doc_id") * 6 / (F.col("_top") + 1)))  # one-row side
+    s = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    s = s.join(table(spark, sf, "labels"), "doc_id").select(F.col("quality").alias("y_true"), (F.col("n_chars") / 5000.0 > 0.3).cast("int").alias("y_pred"))
+    out = work_dir(spark, "degradation-alerts")
+    run_batches(s, "degradation-alerts", monitor.degradation_alerts(out, 0.03))
+    return finish(spark.read.schema(monitor.JUDGED).parquet(out), "f1", "reference", "accepted", "tp", "fp", "fn", "tn", "drift", keys=("period",))
