@@ -18,6 +18,15 @@ def test_quantiles_equal_numpy(spark, n, ties):
         assert got[k] == pytest.approx(np.percentile(x, q * 100), abs=1e-12), (k, n)
 
 
+def test_quantile_weighs_both_neighbours(spark):
+    """0.7 * 670 is 468.99999999999994: the value lies below the upper neighbour, as in Spark's percentile."""
+    rows = [i / 1000 for i in range(468)] + [1.13, 1.131] + [2.0 + i for i in range(201)]
+    d = spark.createDataFrame([("a", v) for v in rows] + [("b", 0.1)] * 671, "k string, x double")
+    got = {r.k: r.q for r in quantiles(d, ["k"], {"q": ("x", 0.7)}, accuracy=100).collect()}
+    want = {r.k: r.q for r in d.groupBy("k").agg(F.percentile("x", 0.7).alias("q")).collect()}
+    assert got == want and got["a"] < 1.131 and got["b"] == 0.1
+
+
 def test_percent_rank_and_auc(spark):
     r = np.random.default_rng(3)
     s, y = np.round(r.random(300), 2), r.integers(0, 2, 300)
