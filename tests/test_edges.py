@@ -48,6 +48,17 @@ def test_overlap_removal_uses_the_previous_raw_signal(spark):
     assert list(got.target) == [1, 0, 0, 0, 1]
 
 
+def test_bars_do_not_depend_on_the_order_of_alike_ticks(spark):
+    ts = dt.datetime(2024, 1, 1)
+    rows = [("a", ts, 7, 5.0), ("a", ts, 7, 9.0), ("a", ts, 7, 7.0)]
+    got = set()
+    for way in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
+        ticks = spark.createDataFrame(way, "symbol string, ts timestamp_ntz, id int, p double").coalesce(1)
+        b = src.build_bars(ticks, "symbol", "ts", "p", ["id"]).first()
+        got.add((b.open, b.close))
+    assert got == {(5.0, 9.0)}
+
+
 def test_asof_takes_the_latest_earlier_row(spark):
     left = spark.createDataFrame([("a", dt.datetime(2024, 1, d)) for d in (1, 5, 30)] + [("b", dt.datetime(2024, 1, 9))], "symbol string, ts timestamp_ntz")
     right = spark.createDataFrame([("a", dt.datetime(2024, 1, 2), 1), ("a", dt.datetime(2024, 1, 5), 2), ("b", dt.datetime(2024, 1, 10), 3)], "symbol string, ts timestamp_ntz, v int")
