@@ -26,6 +26,16 @@ def t(h, m=0):
     return dt.datetime(2024, 1, 1, h, m)
 
 
+def test_late_audit_sees_parts_of_a_second(spark):
+    """00:10:00.3 is 600.6 seconds behind 00:20:00.9."""
+    first = [(1, dt.datetime(2024, 1, 1, 0, 20, 0, 900_000), "a", 1.0)]
+    second = [(2, dt.datetime(2024, 1, 1, 0, 10, 0, 300_000), "a", 1.0), (3, dt.datetime(2024, 1, 1, 0, 10, 0, 900_000), "a", 1.0)]
+    out = work_dir(spark, "audit")
+    empty = spark.createDataFrame([], "rows bigint, late bigint, max_ts timestamp_ntz")
+    run_batches(landed(spark, first, second), "audit", monitor.late_audit(out, 600, empty))
+    assert sorted((r.batch, r.late) for r in spark.read.parquet(out).collect()) == [(0, 0), (1, 1)]
+
+
 def test_late_ticks_are_dropped_and_audited(spark):
     first = [(1, t(0, 5), "a", 1.0), (2, t(3, 0), "a", 2.0)]
     second = [(4, t(5, 0), "a", 3.0)]

@@ -49,7 +49,7 @@ def late_audit(out: str, delay_seconds: int, empty: DataFrame):
         seen = empty if i == 0 else batch.sparkSession.read.schema(empty.schema).parquet(f"{out}/batch={i - 1}")
         top = seen.agg(F.max("max_ts").alias("_top"))
         d = batch.crossJoin(F.broadcast(top))  # one-row side
-        late = F.coalesce(epoch("ts") < epoch("_top") - delay_seconds, F.lit(False))
+        late = F.coalesce(epoch_us("ts") < epoch_us("_top") - delay_seconds * 1_000_000, F.lit(False))
         newest = F.greatest(F.max(F.col("ts").cast("timestamp_ntz")), F.max("_top"))
         g = d.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"), newest.alias("max_ts"))
         _store(g.coalesce(1), out, i)
