@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tickloom.functions.hashing import uniform as uniform48
 from tickloom.operators import cross, robust
 
 
@@ -49,6 +50,22 @@ def test_bootstrap_of_groups_over_several_chunks(spark, size):
         )
 
 
+def test_hashed_draws_equal_hashlib():
+    first, last = np.array([0, 7, 10, 999, 123456, 5]), np.array([0, 99, 100, 65535, 7, 10**12])
+    for head in ("42:", "42:a:", "42:Zür:", "42:" + "long" * 40 + ":", "x" * 52 + ":", "y" * 53 + ":"):
+        for middle in (":", ":3:"):
+            text = [f"{head}{a}{middle}{b}" for a, b in zip(first, last)]
+            want = [int(hashlib.md5(x.encode()).hexdigest()[:12], 16) for x in text]
+            assert uniform48(head, first, middle, last).tolist() == want
+
+
+def test_bootstrap_of_equal_trades(spark):
+    n = 3_000
+    t = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "pnl": 1.0})
+    d = robust.bootstrap(spark.createDataFrame(t, "symbol string, ts timestamp_ntz, pnl double"), ["symbol"], 300).first()
+    assert d.mc_mean == n and d.mc_std == 0.0 and d.mc_positive_prob == 1.0
+
+
 def test_bootstrap_of_no_trades(spark):
     none = spark.createDataFrame([], "symbol string, ts timestamp_ntz, pnl double")
     assert robust.bootstrap(none, ["symbol"], 10).count() == 0
