@@ -133,3 +133,10 @@ def test_what_a_free_rule_cannot_have(data):
     _, d = data
     with pytest.raises(ValueError):
         trades.one_at_a_time(panel(d), [trades.Exit(atr_stop=1.0, atr_trail=1.0)])
+
+
+def test_small_tables_are_dealt_to_all_tasks(spark):
+    """The passes are bound by Python: few bytes must not put all series into one task."""
+    d = panel(frame(spark, *[walk(60, k, f"s{k}") for k in range(8)]), 10).withColumn("signal", F.when(F.col("bar_no") % 7 == 0, 1).otherwise(0))
+    t = trades.one_at_a_time(d, [trades.Exit(stop=0.01, take=0.01, max_hold=5)])
+    assert t.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
