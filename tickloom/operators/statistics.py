@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import ratio
-from tickloom.functions.rolling import rank_in, rcorr, rkurt, rlist, roll, rskew, sliding
+from tickloom.functions.rolling import rank_in, rcorr, rlist, sliding
 from tickloom.operators.price import one_return
 
 
@@ -22,10 +22,16 @@ def correlations(df: DataFrame, n=20) -> DataFrame:
 
 
 def moments(df: DataFrame, n=20) -> DataFrame:
-    """Skew, excess kurtosis and the Jarque-Bera statistic of returns."""
-    df = one_return(df)
-    s, k = roll(F.skewness, "return_1", n), roll(F.kurtosis, "return_1", n)
-    return df.withColumns({"skew_20": rskew("return_1", n), "kurtosis_20": rkurt("return_1", n), "jarque_bera_20": n / 6 * (s * s + k * k / 4)})
+    """Skew, excess kurtosis (both bias-corrected) and the Jarque-Bera statistic of returns."""
+    df = sliding(one_return(df), {"_s": ("skewness", "return_1", n), "_k": ("kurtosis", "return_1", n)})
+    s, k = F.col("_s"), F.col("_k")
+    return df.withColumns(
+        {
+            "skew_20": s * ((n * (n - 1)) ** 0.5 / (n - 2)),
+            "kurtosis_20": ((n - 1) / ((n - 2) * (n - 3))) * ((n + 1) * k + 6),
+            "jarque_bera_20": n / 6 * (s * s + k * k / 4),
+        }
+    ).drop("_s", "_k")
 
 
 def entropy(df: DataFrame, columns=("close", "volume", "return_1"), n=20, bins=10) -> DataFrame:
