@@ -34,3 +34,15 @@ def test_moments_are_merged_from_parts(spark):
     assert flat.any()
     for c, v in want.items():
         np.testing.assert_allclose(got[c].astype(float), v, rtol=1e-6, atol=1e-6, equal_nan=True, err_msg=c)
+
+
+def test_correlations_are_merged_from_parts(spark):
+    raw = with_gaps(300)
+    d = statistics.correlations(panel(frame(spark, raw), 20, size=64))
+    assert "covar_pop(" not in plan_of(d) and "stddev_pop(" not in plan_of(d)
+    got = fetch(settle(d), "corr_close_volume", "corr_range_volume")
+    for c, x in (("corr_close_volume", raw["close"]), ("corr_range_volume", raw["high"] - raw["low"])):
+        flat = x.rolling(20).max() == x.rolling(20).min()
+        want = x.rolling(20).corr(raw["volume"]).mask(flat)
+        np.testing.assert_allclose(got[c].astype(float), want, rtol=1e-6, atol=1e-6, equal_nan=True, err_msg=c)
+        assert flat.any() and want.isna().sum() > 60

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.expr import ratio
-from tickloom.functions.rolling import rank_in, rcorr, rlist, sliding
+from tickloom.functions.rolling import rank_in, rlist, sliding
 from tickloom.operators.price import one_return
 
 
@@ -17,8 +17,11 @@ def zscores(df: DataFrame, columns=("close", "volume"), n=20) -> DataFrame:
 
 
 def correlations(df: DataFrame, n=20) -> DataFrame:
-    """Price with volume, range with volume."""
-    return df.withColumns({"corr_close_volume": rcorr("close", "volume", n), "corr_range_volume": rcorr(F.col("high") - F.col("low"), "volume", n)})
+    """Price with volume, range with volume; NULL where one side is constant."""
+    pairs = {"close_volume": F.col("close"), "range_volume": F.col("high") - F.col("low")}
+    both = {k: a.isNotNull() & F.col("volume").isNotNull() for k, a in pairs.items()}
+    df = df.withColumns({f"_p_{k}": F.struct(F.when(both[k], a).alias("x"), F.when(both[k], F.col("volume")).alias("y")) for k, a in pairs.items()})
+    return sliding(df, {f"corr_{k}": ("corr", f"_p_{k}", n) for k in pairs}).drop(*[f"_p_{k}" for k in pairs])
 
 
 def moments(df: DataFrame, n=20) -> DataFrame:
