@@ -1,9 +1,11 @@
 """Work that must not grow faster than the rows: what plans and tasks look like."""
 
 import numpy as np
+import pandas as pd
 
-from helpers import fetch, frame, walk
-from tickloom.operators import statistics
+from helpers import SCHEMA, fetch, frame, walk
+from test_trades import loop
+from tickloom.operators import statistics, trades
 from tickloom.operators.panel import panel, settle
 
 
@@ -46,3 +48,26 @@ def test_correlations_are_merged_from_parts(spark):
         want = x.rolling(20).corr(raw["volume"]).mask(flat)
         np.testing.assert_allclose(got[c].astype(float), want, rtol=1e-6, atol=1e-6, equal_nan=True, err_msg=c)
         assert flat.any() and want.isna().sum() > 60
+
+
+def test_trades_of_many_short_series_share_batches(spark):
+    """No frame a series: short series meet in a batch, long ones go over batches and chunks."""
+    parts = [walk(n, seed=n, symbol=f"s{n}") for n in (3, 40, 41, 60, 64, 65, 150, 700)]
+    bars = pd.concat(parts)
+    bars["signal"] = np.random.default_rng(5).choice([0.0, 1.0, -1.0], len(bars), p=[0.5, 0.3, 0.2])
+    rules = {"held": trades.Exit(0, stop=0.02, take=0.03, max_hold=20), "free": trades.Exit(1, stop=0.05, take=0.08)}
+    df = spark.createDataFrame(bars, SCHEMA + ", signal double")
+    plain = bars.assign(atr_14=1.0, momentum=0.0)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        d = trades.one_at_a_time(panel(df, size=64), list(rules.values()))
+        assert "FlatMapGroups" not in plan_of(d)
+        got = d.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for symbol, own in plain.groupby("symbol"):
+        for r in rules.values():
+            have = sorted((x.entry_no, x.exit_no, x.reason, round(x.exit_price, 6)) for x in got if x.symbol == symbol and x.param_id == r.param_id)
+            assert have == loop(own, r), (symbol, r)
+    assert {x.symbol for x in got} >= {"s40", "s65", "s700"}
