@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from helpers import SCHEMA, fetch, frame, walk
 from test_trades import loop
-from tickloom.operators import statistics, trades
+from tickloom.operators import performance, statistics, trades
 from tickloom.operators.panel import panel, settle
 
 
@@ -71,3 +72,24 @@ def test_trades_of_many_short_series_share_batches(spark):
             have = sorted((x.entry_no, x.exit_no, x.reason, round(x.exit_price, 6)) for x in got if x.symbol == symbol and x.param_id == r.param_id)
             assert have == loop(own, r), (symbol, r)
     assert {x.symbol for x in got} >= {"s40", "s65", "s700"}
+
+
+def test_rolling_performance_is_merged_from_parts(spark):
+    raw = walk(400)
+    d = panel(frame(spark, raw), 61, size=128)
+    d = d.withColumns({"ret": F.when(F.col("bar_no") > 0, F.col("close") / 100 - 1), "drawdown": F.col("open") / 200 - 1})
+    d = performance.rolling_year(performance.rolling_metrics(d), n=60)
+    assert "stddev_samp(" not in plan_of(d) and "avg(" not in plan_of(d)
+    got = fetch(settle(d), "rolling_sharpe", "rolling_win_rate", "year_return", "year_vol", "year_sharpe", "year_drawdown")
+    r, down = raw["close"].mask(raw.index == 0) / 100 - 1, raw["open"] / 200 - 1
+    w, y = r.rolling(30), r.rolling(60)
+    want = {
+        "rolling_sharpe": w.mean() / w.std() * 252**0.5,
+        "rolling_win_rate": 100 * (r > 0).astype(float).mask(r.isna()).rolling(30).mean(),
+        "year_return": y.mean() * 252,
+        "year_vol": y.std() * 252**0.5,
+        "year_sharpe": y.mean() * 252 / (y.std() * 252**0.5),
+        "year_drawdown": down.rolling(60).min(),
+    }
+    for c, v in want.items():
+        np.testing.assert_allclose(got[c].astype(float), v, rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
