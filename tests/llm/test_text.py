@@ -292,3 +292,15 @@ def test_frequent_lines(spark, n):
     assert kept[0] == ((11, True) if n > 20 else (17, True)) and kept[99][0] == (2 if n > 20 else 20)
     cut = {r.doc_id: r.text for r in lines.without_frequent_lines(frame).collect()}
     assert ("Shared" in cut[0]) == (n <= 20)
+
+
+def test_known_words_are_not_walked_by_the_collector():
+    """A worker remembers up to 200,000 words: nothing of them may cost each collection."""
+    import gc
+
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        e = bpe.Encoder(f.read(), public_tokenizers.PATTERN)
+    rows = e.encode(["zqxvk zqxvk blorptangle", "", "h"], True)
+    assert [len(r[3]) for r in rows] == [r[0] for r in rows] and b"".join(e.replay.token[i] for i in rows[0][3]) == b"zqxvk zqxvk blorptangle"
+    gc.collect()
+    assert e.known and not any(gc.is_tracked(v) for v in e.known.values())

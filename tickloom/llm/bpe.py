@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from operator import itemgetter
 
 import pandas as pd
@@ -29,45 +30,54 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Pairs(dict):
+    """Rank of the token that a pair of ids makes, -1 for none; looked up once, forgotten past a million."""
+
+    def __init__(self, ranks: dict[bytes, int], token: dict[int, bytes]):
+        super().__init__()
+        self.ranks, self.token = ranks, token
+
+    def __missing__(self, pair: tuple[int, int]) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        r = self[pair] = self.ranks.get(self.token[pair[0]] + self.token[pair[1]], -1)
+        return r
+
+
 class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def pair_rank(self, a: int, b: int) -> int:
-        key = (a, b)
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
+        self.pairs = Pairs(ranks, self.token)
+        self.single = [ranks[bytes([b])] for b in range(256)]
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (not empty)."""
-        ranks, pair_rank = self.ranks, self.pair_rank
-        single = [ranks[bytes([b])] for b in range(256)]
+        ranks, pairs, single = self.ranks, self.pairs, self.single
         sym: list[int] = []
+        last: list[int] = []
         starts, ends = [], []
         for w in words:
             starts.append(len(sym))
             if w in ranks:
                 sym.append(ranks[w])
             else:
-                sym.extend([single[b] for b in w])
-            ends.append(len(sym))
+                sym += [single[b] for b in w]
+            e = len(sym)
+            last += [e] * (e - len(last))
+            ends.append(e)
         n = len(sym)
-        after, before, last = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
+        for p, pair in enumerate(zip(sym, sym[1:])):
+            r = pairs[pair]
+            if r >= 0 and p + 1 < last[p]:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
         for s, e in zip(starts, ends, strict=True):
             before[s] = after[e - 1] = -1
-            for p in range(s, e):
-                last[p] = e
-            for p in range(s, e - 1):
-                r = pair_rank(sym[p], sym[p + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -85,25 +95,34 @@ class Replay:
                     index[r].append(p)
                     continue
                 q = after[p]
-                if q < 0 or sym[p] < 0 or pair_rank(sym[p], sym[q]) != r:
+                if q < 0 or sym[p] < 0 or pairs[sym[p], sym[q]] != r:
                     continue  # a merge has changed this place
                 sym[p], sym[q] = r, -1
                 far, near = after[q], before[p]
                 after[p] = far
                 if far >= 0:
                     before[far] = p
-                for left, right in ((near, p), (p, far)):
-                    if left >= 0 and right >= 0:
-                        new = pair_rank(sym[left], sym[right])
-                        if new >= 0:
-                            if new in index:
-                                index[new].append(left)
-                            else:
-                                index[new] = [left]
-                                heapq.heappush(heap, new)
-                            if new < r:
-                                wait = last[p]
-        return [[x for x in sym[s:e] if x >= 0] for s, e in zip(starts, ends, strict=True)]
+                if near >= 0:
+                    new = pairs[sym[near], r]
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(near)
+                        else:
+                            index[new] = [near]
+                            heapq.heappush(heap, new)
+                        if new < r:
+                            wait = last[p]
+                if far >= 0:
+                    new = pairs[r, sym[far]]
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            heapq.heappush(heap, new)
+                        if new < r:
+                            wait = last[p]
+        return [[x for x in sym[s:e] if x >= 0] if e - s > 1 else sym[s:e] for s, e in zip(starts, ends, strict=True)]
 
 
 class Encoder:
@@ -111,15 +130,16 @@ class Encoder:
 
     def __init__(self, data: bytes, pattern: str):
         self.replay = Replay(read_ranks(data))
+        self.text = {i: str(i) for i in self.replay.token}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.known: dict[str, tuple[int, str, bytes, bytes]] = {}  # nothing that the collector has to walk through
 
     def learn(self, words: list[str]) -> None:
-        token = self.replay.token
+        token, text = self.replay.token, self.text
         for at in range(0, len(words), REPLAY):
             block = words[at : at + REPLAY]
             for w, ids in zip(block, self.replay.encode([w.encode() for w in block]), strict=True):
-                self.known[w] = (len(ids), ",".join(map(str, ids)), b"".join([token[i] for i in ids]), ids)
+                self.known[w] = (len(ids), ",".join([text[i] for i in ids]), b"".join([token[i] for i in ids]), array("i", ids).tobytes())
 
     def encode(self, texts: list[str], with_ids: bool) -> list[tuple]:
         out = []
@@ -137,7 +157,7 @@ class Encoder:
                     hashlib.sha256(",".join(map(joined, parts)).encode()).hexdigest(),
                     hashlib.sha256(b"".join(map(decoded, parts))).hexdigest(),
                 )
-                out.append((*row, [i for ids in map(listed, parts) for i in ids]) if with_ids else row)
+                out.append((*row, array("i", b"".join(map(listed, parts))).tolist()) if with_ids else row)
         return out
 
 
