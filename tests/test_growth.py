@@ -1,5 +1,7 @@
 """Work that must not grow faster than the rows: what plans and tasks look like."""
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -93,3 +95,40 @@ def test_rolling_performance_is_merged_from_parts(spark):
     }
     for c, v in want.items():
         np.testing.assert_allclose(got[c].astype(float), v, rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
+
+
+def fed_to_arrow(node):
+    """Fields of the rows that each pass in Arrow batches gets."""
+    if node.nodeName() == "MapInArrow":
+        yield json.loads(node.children().apply(0).schema().json())["fields"]
+    for i in range(node.children().size()):
+        yield from fed_to_arrow(node.children().apply(i))
+
+
+def test_bars_go_to_the_trades_in_plain_columns(spark):
+    """Spark's Arrow writer passes over the whole batch with each row if a column holds lists or structs."""
+    bars = walk(300).assign(signal=1)
+    df = spark.createDataFrame(bars, SCHEMA + ", signal int")
+    d = trades.one_at_a_time(panel(df, size=64), [trades.Exit(stop=0.02, take=0.03)])
+    fed = list(fed_to_arrow(d._jdf.queryExecution().optimizedPlan()))
+    assert len(fed) == 2
+    assert all(isinstance(f["type"], str) for fields in fed for f in fields)
+    plain = bars.assign(atr_14=1.0, momentum=0.0)
+    assert sorted((x.entry_no, x.exit_no, x.reason, round(x.exit_price, 6)) for x in d.collect()) == loop(plain, trades.Exit(stop=0.02, take=0.03))
+
+
+def test_trail_needs_no_table_of_entries_and_bars():
+    """The exits of a percentage trail over many series at once, found by searches; missing prices do not count."""
+    r = np.random.default_rng(3)
+    y = np.round(100 * np.exp(np.cumsum(r.normal(0, 0.05, 400))), 1)
+    y[r.integers(0, 400, 20)] = np.nan
+    for side in (1, -1):
+        s = trades.Series(np.arange(400), {"close": y, "signal": np.full(400, float(side))}, 400)
+        entries, rule = np.flatnonzero(~np.isnan(y)), trades.Exit(trail=0.1)
+        end = np.where(entries < 150, 150, 400)  # two series
+        k, _, _ = trades.exits(s, entries, rule, end)
+        assert rule.levels
+        for i, e, x in zip(entries, end, k):
+            peak = np.fmax.accumulate(side * y[i:e])
+            hit = np.flatnonzero((side * y[i:e] <= peak - np.abs(peak) * 0.1) & (np.arange(i, e) > i))
+            assert x == (i + hit[0] if len(hit) else -1), i
