@@ -304,3 +304,18 @@ def test_known_words_are_not_walked_by_the_collector():
     assert [len(r[3]) for r in rows] == [r[0] for r in rows] and b"".join(e.replay.token[i] for i in rows[0][3]) == b"zqxvk zqxvk blorptangle"
     gc.collect()
     assert e.known and not any(gc.is_tracked(v) for v in e.known.values())
+
+
+def test_bpe_workers_remember_little(monkeypatch):
+    """Pairs and words stay below their bounds between blocks of texts, with the same ids; ids are small arrays, not lists."""
+    monkeypatch.setattr(bpe, "PAIRS", 300)
+    monkeypatch.setattr(bpe, "REMEMBER", 500)
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        data = f.read()
+    real = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(data), special_tokens={})
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3)) for _ in range(1024)]
+    e = bpe.Encoder(data, public_tokenizers.PATTERN)
+    rows = e.rows(texts, True)
+    assert len(e.replay.pairs) <= 300 and len(e.known) <= 500 + 256 * 3
+    assert all(r[3].itemsize == 4 and r[3].tolist() == real.encode_ordinary(t) for r, t in zip(rows, texts, strict=True))

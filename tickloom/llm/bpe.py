@@ -15,6 +15,7 @@ import heapq
 from array import array
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words whose merges are replayed together, and words a Python worker remembers.
-REPLAY, REMEMBER = 20_000, 200_000
+#: Words whose merges are replayed together, words and pairs a Python worker remembers.
+REPLAY, REMEMBER, PAIRS = 20_000, 200_000, 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -31,14 +32,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Pairs(dict):
-    """Rank of the token that a pair of ids makes, -1 for none; looked up once, forgotten past a million."""
+    """Rank of the token that a pair of ids makes, -1 for none; looked up once, forgotten past ``PAIRS``."""
 
     def __init__(self, ranks: dict[bytes, int], token: dict[int, bytes]):
         super().__init__()
         self.ranks, self.token = ranks, token
 
     def __missing__(self, pair: tuple[int, int]) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= PAIRS:
             self.clear()
         r = self[pair] = self.ranks.get(self.token[pair[0]] + self.token[pair[1]], -1)
         return r
@@ -142,13 +143,17 @@ class Encoder:
                 self.known[w] = (len(ids), ",".join([text[i] for i in ids]), b"".join([token[i] for i in ids]), array("i", ids).tobytes())
 
     def encode(self, texts: list[str], with_ids: bool) -> list[tuple]:
-        out = []
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known = self.known
+        """Count and hashes of each text, and its ids if asked for."""
+        return [(*row[:3], *(ids.tolist() for ids in row[3:])) for row in self.rows(texts, with_ids)]
+
+    def rows(self, texts: list[str], with_ids: bool) -> list[tuple]:
+        """As ``encode``, but ids lie in arrays of four bytes each, so a batch of them stays small."""
+        out, known = [], self.known
         count, joined, decoded, listed = map(itemgetter, range(4))
         for at in range(0, len(texts), 256):
             split = [self.split(t) for t in texts[at : at + 256]]
+            if len(known) > REMEMBER:
+                known.clear()
             self.learn(list({w for words in split for w in words if w not in known}))
             for words in split:
                 parts = [known[w] for w in words]
@@ -157,7 +162,7 @@ class Encoder:
                     hashlib.sha256(",".join(map(joined, parts)).encode()).hexdigest(),
                     hashlib.sha256(b"".join(map(decoded, parts))).hexdigest(),
                 )
-                out.append((*row, array("i", b"".join(map(listed, parts))).tolist()) if with_ids else row)
+                out.append((*row, np.frombuffer(b"".join(map(listed, parts)), np.intc)) if with_ids else row)
         return out
 
 
@@ -190,7 +195,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def encode(texts: pd.Series) -> pd.DataFrame:
-        rows = _encoder(mark, pattern, shipped).encode([t or "" for t in texts], with_ids)
+        rows = _encoder(mark, pattern, shipped).rows([t or "" for t in texts], with_ids)
         return pd.DataFrame(rows, columns=names)
 
     return docs.withColumn(into, encode("text"))
