@@ -132,3 +132,15 @@ def test_trail_needs_no_table_of_entries_and_bars():
             peak = np.fmax.accumulate(side * y[i:e])
             hit = np.flatnonzero((side * y[i:e] <= peak - np.abs(peak) * 0.1) & (np.arange(i, e) > i))
             assert x == (i + hit[0] if len(hit) else -1), i
+
+
+def test_exposure_does_not_build_the_bars_again(spark, monkeypatch):
+    """Trades and exposure of one query read the same written bars."""
+    from tickloom.plans import evaluation_queries as q
+
+    made, build = [], q.supply_bars
+    monkeypatch.setattr(q, "supply_bars", lambda *a: made.append(a) or build(*a))
+    monkeypatch.setattr(q, "sup", lambda *a: made.append(a))
+    got = q.q_summary(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    assert got.count() == build(spark, "/root/testdata/sf0.001").select("symbol").distinct().count()
