@@ -319,3 +319,17 @@ def test_bpe_workers_remember_little(monkeypatch):
     rows = e.rows(texts, True)
     assert len(e.replay.pairs) <= 300 and len(e.known) <= 500 + 256 * 3
     assert all(r[3].itemsize == 4 and r[3].tolist() == real.encode_ordinary(t) for r, t in zip(rows, texts, strict=True))
+
+
+def test_bpe_replays_short_words_in_rounds(monkeypatch):
+    """Words of 64 bytes at most never go through the index, longer ones do; both give tiktoken's ids."""
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    real = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdeinrst éß中🙂", k=n)) for n in [*range(1, 70)] * 4] + ["a" * 63, "a" * 64, "a" * 65, "é" * 32, "é" * 33]
+    replay, seen = bpe.Replay(ranks), []
+    indexed = replay._indexed
+    monkeypatch.setattr(replay, "_indexed", lambda words: seen.extend(words) or indexed(words))
+    assert replay.encode([t.encode() for t in texts]) == [real.encode_ordinary(t) for t in texts]
+    assert {len(w) > 64 for w in seen} == {True} and replay.encode([]) == []

@@ -1,10 +1,15 @@
 """Byte-level BPE by replaying merges over a whole vocabulary of words at once.
 
-The different words of a batch lie in one array of symbols. An inverted index leads from
-the rank of a mergeable pair to the places where it stands in any word. Ranks are taken in
-order; a merge touches its two neighbours only, and new pairs enter the index. If a merge
-opens a pair of lower rank in a word, the rest of that word waits, so that each word sees
-the same order as if it were alone.
+The different words of a batch lie in one array of symbols; a merge touches its two
+neighbours only.
+
+* Words of ``SHORT`` bytes at most are replayed in rounds. Each place holds the rank of its
+  pair and its offset in the word as one number, so the least number of a word names the
+  merge it is to make next; all words make theirs at once.
+* Longer words would need as many rounds as bytes. An inverted index leads from the rank of
+  a mergeable pair to the places where it stands in any of them. Ranks are taken in order,
+  and new pairs enter the index. If a merge opens a pair of lower rank in a word, the rest
+  of that word waits, so that each word sees the same order as if it were alone.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words whose merges are replayed together, words and pairs a Python worker remembers.
 REPLAY, REMEMBER, PAIRS = 20_000, 200_000, 200_000
+#: Bytes of a word that is replayed in rounds, and the number of a place without a mergeable pair.
+SHORT, NONE = 64, np.int64(1) << 62
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -51,19 +58,69 @@ class Replay:
         self.token = {r: t for t, r in ranks.items()}
         self.pairs = Pairs(ranks, self.token)
         self.single = [ranks[bytes([b])] for b in range(256)]
+        self.ids = np.array(self.single, np.int64)
+        self.none = max(self.token) + 1  # stands in no pair
+        made = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        keys = np.array([a * (self.none + 1) + b for a, b in made], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.made = np.append(keys[order], NONE), np.append(np.array(list(made.values()), np.int64)[order], 0)
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.of_bytes = self._numbers(self.ids[a], self.ids[b], 0)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (not empty)."""
-        ranks, pairs, single = self.ranks, self.pairs, self.single
+        ranks = self.ranks
+        out = [[ranks[w]] if w in ranks else None for w in words]
+        short = [i for i, ids in enumerate(out) if ids is None and len(words[i]) <= SHORT]
+        for i, ids in zip(short, self._rounds([words[i] for i in short]) if short else [], strict=True):
+            out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._indexed([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _numbers(self, a: np.ndarray, b: np.ndarray, offset) -> np.ndarray:
+        """Rank of the token that each pair makes and its offset in one number, the rank in front."""
+        key = a * (self.none + 1) + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at] * SHORT + offset, NONE)
+
+    def _rounds(self, words: list[bytes]) -> list[list[int]]:
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        n, size = len(raw), np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        first = starts = ends - size
+        offset = np.append(np.arange(n) - np.repeat(starts, size), 0)
+        sym = np.append(self.ids[raw], self.none)  # place n stands for no neighbour
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = before[starts] = n
+        number = np.full(n + 1, NONE)
+        number[: n - 1] = self.of_bytes[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+        number += np.where(number < NONE, offset, 0)
+        number[ends - 1] = NONE
+        while len(starts):
+            least = np.minimum.reduceat(number[:n], starts)  # places of words already done, in between, hold no pair
+            more = least < NONE
+            starts, least = starts[more], least[more]
+            r, p = least // SHORT, starts + least % SHORT
+            q, near = after[p], before[p]
+            far = after[q]
+            sym[p], sym[q], number[q] = r, -1, NONE
+            after[p], before[far] = far, p
+            number[p] = self._numbers(r, sym[far], offset[p])
+            number[near] = self._numbers(sym[near], r, offset[near])
+        kept = sym[:n] >= 0
+        ids, stop = sym[:n][kept].tolist(), np.cumsum(np.add.reduceat(kept, first, dtype=np.int64)).tolist()
+        return [ids[s:e] for s, e in zip([0, *stop], stop, strict=False)]
+
+    def _indexed(self, words: list[bytes]) -> list[list[int]]:
+        pairs, single = self.pairs, self.single
         sym: list[int] = []
         last: list[int] = []
         starts, ends = [], []
         for w in words:
             starts.append(len(sym))
-            if w in ranks:
-                sym.append(ranks[w])
-            else:
-                sym += [single[b] for b in w]
+            sym += [single[b] for b in w]
             e = len(sym)
             last += [e] * (e - len(last))
             ends.append(e)
