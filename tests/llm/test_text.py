@@ -333,3 +333,32 @@ def test_bpe_replays_short_words_in_rounds(monkeypatch):
     monkeypatch.setattr(replay, "_indexed", lambda words: seen.extend(words) or indexed(words))
     assert replay.encode([t.encode() for t in texts]) == [real.encode_ordinary(t) for t in texts]
     assert {len(w) > 64 for w in seen} == {True} and replay.encode([]) == []
+
+
+def test_workers_give_memory_back(spark):
+    """What a BPE worker remembers ends with its task; powers of a usual text are small; tables are stored from small batches."""
+    from tickloom.llm import common
+
+    word = minhash.word_hashes("a bc " * 9)
+    assert all(p.nbytes < 2 << 20 for p in minhash._powers(minhash.USUAL + 2))
+    assert (minhash.word_hashes("a bc " * 40_000)[:18] == word).all()
+
+    class Told:
+        write = property(lambda self: self)
+        schema = "n long"
+
+        def parquet(self, path):
+            self.seen = [spark.conf.get(k) for k in common.BATCHES]
+            spark.range(1).toDF("n").write.parquet(path)
+
+    before, told = [spark.conf.get(k) for k in common.BATCHES], Told()
+    common.Scratch(spark, "batches").put(told, "t")
+    assert all(int(x) <= common.BATCH for x in told.seen) and before == [spark.conf.get(k) for k in common.BATCHES]
+
+    @F.udf("long")
+    def remembered(n):
+        return sum(len(e.known) for e in bpe._ENCODERS.values())
+
+    docs = spark.createDataFrame([(i, f"zqxvk{i} blorp") for i in range(40)], "doc_id long, text string").repartition(1)
+    assert bpe.encoded(docs).where("_bpe.n_tokens > 0").count() == 40
+    assert {r[0] for r in docs.select(remembered("doc_id")).collect()} == {0}

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from array import array
+from collections.abc import Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words whose merges are replayed together, words and pairs a Python worker remembers.
-REPLAY, REMEMBER, PAIRS = 20_000, 200_000, 200_000
+REPLAY, REMEMBER, PAIRS = 5_000, 100_000, 200_000
 #: Bytes of a word that is replayed in rounds, and the number of a place without a mergeable pair.
 SHORT, NONE = 64, np.int64(1) << 62
 
@@ -199,6 +200,10 @@ class Encoder:
             for w, ids in zip(block, self.replay.encode([w.encode() for w in block]), strict=True):
                 self.known[w] = (len(ids), ",".join([text[i] for i in ids]), b"".join([token[i] for i in ids]), array("i", ids).tobytes())
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.replay.pairs.clear()
+
     def encode(self, texts: list[str], with_ids: bool) -> list[tuple]:
         """Count and hashes of each text, and its ids if asked for."""
         return [(*row[:3], *(ids.tolist() for ids in row[3:])) for row in self.rows(texts, with_ids)]
@@ -242,7 +247,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     tokens, hashes of the empty string. Whole texts count; repeated rows get equal results;
     an empty table gives an empty one. The driver reads the rank file (about 1 MB) and a
     broadcast carries it, so executors need no file. A worker remembers a bounded number of
-    words across batches.
+    words across the batches of a task.
     """
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         data = f.read()
@@ -251,9 +256,13 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        rows = _encoder(mark, pattern, shipped).rows([t or "" for t in texts], with_ids)
-        return pd.DataFrame(rows, columns=names)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(mark, pattern, shipped)
+        try:
+            for texts in batches:
+                yield pd.DataFrame(encoder.rows([t or "" for t in texts], with_ids), columns=names)
+        finally:  # the worker goes on to other stages
+            encoder.forget()
 
     return docs.withColumn(into, encode("text"))
 

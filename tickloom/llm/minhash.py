@@ -15,8 +15,8 @@ from tickloom.llm.common import Scratch
 
 #: Minima of a band. Bands are added until a pair at the threshold is missed once in 1e9.
 BAND_ROWS, MISS = 4, 1e-9
-#: Bytes of a text that are split into words at once.
-CHUNK = 1 << 20
+#: Bytes of a text that are split into words at once, and of most texts (a worker keeps their powers only).
+CHUNK, USUAL = 1 << 20, 1 << 17
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BASE = 0x9E3779B97F4A7C15
@@ -28,9 +28,8 @@ def n_bands(percent: int) -> int:
 
 
 @lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    size = CHUNK + 2
     up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -48,7 +47,7 @@ def _chunk_words(data: bytes) -> np.ndarray:
     inside[1:-1] = ~_SPACE[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers()
+    up, down = _powers(CHUNK + 2 if len(raw) > USUAL else USUAL + 2)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
