@@ -124,3 +124,20 @@ def test_empty_and_clashing_columns(spark):
     frame = spark.createDataFrame([("a b", "en", 1, 2, 3)] * 4, "text string, lang string, word int, n int, l int")
     rows = collocations.collocations(frame, least=3).collect()
     assert [tuple(r) for r in rows] == [("en", 1, "a b", 4, 4, 4, 8, 1000000)]
+
+
+def test_the_driver_gets_words_and_pairs_as_packed_bytes(spark, monkeypatch):
+    docs = [(" ".join(f"w{(7 * i + k) % 900}" for k in range(900)), "en") for i in range(3)] + [("x y z", "de")] * 3
+    frame = spark.createDataFrame(docs, "text string, lang string")
+    rows, collect = [], type(frame).collect
+
+    def counted(df):
+        found = collect(df)
+        rows.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(frame), "collect", counted)
+    result = collocations.collocations(frame, least=3)
+    assert rows and max(rows) < 100  # not one row for each of the 900 words and pairs
+    monkeypatch.undo()
+    assert sorted(tuple(r) for r in result.collect()) == plain(docs, 3, 2000)

@@ -77,12 +77,38 @@ class _Ids:
     def of(cls, shared) -> dict[str, dict[bytes, int]]:
         if cls.made is None or cls.made[0] != shared.value[0]:
             ids: dict[str, dict[bytes, int]] = {}
-            for lang, word, i in zip(*shared.value[1:], strict=True):
-                ids.setdefault(lang, {})[word] = i
+            for lang, words, numbers in shared.value[1]:
+                ids.setdefault(lang, {}).update(zip(words.split(b" "), np.frombuffer(numbers, "<u4").tolist(), strict=True))
             cls.made = shared.value[0], ids
         return cls.made[1]
 
 
+def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a language in a batch as one text, and their ids as one: the driver gets bytes, not rows."""
+    for b in batches:
+        found: dict[str, tuple[list[bytes], list[int]]] = {}
+        for lang, word, i in _columns(b):
+            words, ids = found.setdefault(lang, ([], []))
+            words.append(word)
+            ids.append(i)
+        texts = [(b" ".join(words), np.array(ids, "<u4").tobytes()) for words, ids in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([w for w, _ in texts], pa.binary()), pa.array([i for _, i in texts], pa.binary())], ["lang", "words", "ids"])
+
+
+def _packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed pairs of a batch as one row."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy(zero_copy_only=False).astype("<u8").tobytes()], pa.binary())], ["pairs"])
+
+
+def _known_pairs(two: DataFrame) -> np.ndarray:
+    """All pairs, sorted; eight bytes each on their way and on the driver."""
+    rows = two.select("l").mapInArrow(_packed_pairs, "pairs binary").collect()
+    known = np.frombuffer(b"".join(r.pairs for r in rows), "<u8").astype(np.uint64)
+    known.sort()
+    return known
+
+
 def _coded(shared):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids.of(shared)
@@ -134,8 +160,8 @@ def coded_texts(rows: DataFrame, dictionary: DataFrame, small: bool, scratch: Sc
     """
     spark: SparkSession = rows.sparkSession
     if small:
-        found = dictionary.select("lang", "word", "id").collect()
-        shared = spark.sparkContext.broadcast((hash(scratch.root), [r.lang for r in found], [bytes(r.word) for r in found], [r.id for r in found]))
+        found = dictionary.select("lang", "word", "id").mapInArrow(_packed_words, "lang string, words binary, ids binary").collect()
+        shared = spark.sparkContext.broadcast((hash(scratch.root), [(r.lang, bytes(r.words), bytes(r.ids)) for r in found]))
         return rows.mapInArrow(_coded(shared), "lang string, ids binary")
     tokens = rows.select("lang", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_tokens, "lang string, row long, at long, word binary")
     tokens = scratch.put(tokens, "tokens")
@@ -317,9 +343,10 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
     pairs, most = None, tokens
     if found.pairs <= max_pairs:
         most = found.places
-        known = np.sort(np.array([r.l for r in two.select("l").collect()], np.uint64))
-        pairs = spark.sparkContext.broadcast(known)
+        pairs = spark.sparkContext.broadcast(_known_pairs(two))
     longer = scratch.put(phrase_counts(coded, (3, 4), bits, 2 * most, least, pairs), "longer")
+    if pairs is not None:
+        pairs.destroy()  # what it was for is stored
     scratch.drop("coded", "tokens")
 
     single = dictionary.select(F.shiftleft("id", bits).alias("l"), F.lit(0).cast("long").alias("r"), F.col("n").alias("f"))
