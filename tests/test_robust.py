@@ -2,11 +2,13 @@
 
 import hashlib
 from collections import Counter
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from tickloom.functions.hashing import Paired
 from tickloom.functions.hashing import uniform as uniform48
 from tickloom.operators import cross, robust
 
@@ -144,3 +146,29 @@ def test_regime_of_periods(spark):
     for row in got:
         c = Counter(g for s, t, g in pts if s == row.symbol and row.start <= t <= row.end and g)
         assert row.regime == (min(c, key=lambda g: (-c[g], g)) if c else None), row
+
+
+def test_hashes_of_pairs_laid_out_once():
+    for head, middle in (("42:", ":"), ("42:é:", ":12:"), ("7:" + "k" * 40 + ":", ":"), ("7:" + "k" * 60 + ":", ":")):
+        first = np.array([0, 9, 10, 99, 100, 999, 1000], dtype="int64")
+        pairs = Paired(head, first, middle, 1201)
+        who, last = np.repeat(np.arange(len(first)), 5), np.tile([0, 9, 10, 999, 1200], len(first))
+        want = [int(hashlib.md5(f"{head}{first[i]}{middle}{j}".encode()).hexdigest()[:12], 16) for i, j in zip(who, last, strict=True)]
+        assert pairs.uniform(who, last).tolist() == want
+
+
+def test_groups_of_one_chunk_make_no_lists_of_simulations(spark, monkeypatch):
+    rows = [(f"s{i}", datetime(2024, 1, 1) + timedelta(days=d), float((i * 7 + d * 3) % 11 - 5)) for i in range(6) for d in range(9)]
+    trades = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, pnl double")
+    plans, stored = {}, robust.materialise
+
+    def kept(df, name):
+        df.collect()
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return stored(df, name)
+
+    monkeypatch.setattr(robust, "materialise", kept)
+    got = robust.bootstrap(trades, ["symbol"], n_simulations=40)
+    # those lists went to the driver and to all tasks, as they look small when compressed
+    assert "MapInPandas" in plans["totals"] and "collect_list(struct(sim" not in plans["totals"]
+    assert got.count() == 6
