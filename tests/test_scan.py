@@ -1,5 +1,8 @@
 """Recursive features against pandas and plain loops."""
 
+import re
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -92,3 +95,13 @@ def test_constant_and_single(spark):
     a = got[got.symbol == "a"]
     assert (a.rsi_14[14:] == 0).all() and np.allclose(a.macd, 0, atol=1e-9)
     assert got[got.symbol == "one"].rsi_14.isna().all()
+
+
+def test_averages_of_all_block_lengths_share_one_exchange(spark):
+    rows = [("a", datetime(2024, 1, 1) + timedelta(hours=i), float(i % 7 + 1)) for i in range(300)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    d = settle(scan.emas(panel(bars, 0, size=100, scans=True), (2, 20, 100)))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    # chunks of bars are dealt once; blocks of 256, 1,024 and 16,384 bars asked for one exchange each
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*chunk#", plan)) == 1
+    assert d.count() == 300
