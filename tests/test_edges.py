@@ -6,7 +6,7 @@ from helpers import SCHEMA, fetch, frame, walk
 from pyspark.errors import PySparkException
 
 from tickloom.functions.expr import interval_seconds
-from tickloom.operators import clean, labels, oscillators, price, statistics, volatility
+from tickloom.operators import clean, labels, oscillators, performance, price, statistics, volatility
 from tickloom.operators.cross import asof
 from tickloom.operators.panel import panel, settle
 from tickloom.sources import bars as src
@@ -49,7 +49,7 @@ def test_overlap_removal_uses_the_previous_raw_signal(spark):
 
 
 def test_bars_do_not_depend_on_the_order_of_alike_ticks(spark):
-    ts = dt.datetime(2024, 1, 1)
+    ts = dt.dt.datetime(2024, 1, 1)
     rows = [("a", ts, 7, 5.0), ("a", ts, 7, 9.0), ("a", ts, 7, 7.0)]
     got = set()
     for way in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
@@ -75,7 +75,7 @@ def test_sources(spark, tmp_path):
     store.append_metrics(spark.createDataFrame([("2024-01-02", 0.5, 0.4)], "timestamp string, auc double, f1 double"), p)
     store.append_metrics(spark.createDataFrame([("2024-01-01", 0.6, 0.3)], "timestamp string, auc double, f1 double"), p)
     assert [r.timestamp for r in store.read_metrics(spark, p).collect()] == ["2024-01-01", "2024-01-02"]
-    assert src.normalise_time(spark.createDataFrame([(1704067200000,)], "open_time bigint")).first().ts == dt.datetime(2024, 1, 1)
+    assert src.normalise_time(spark.createDataFrame([(1704067200000,)], "open_time bigint")).first().ts == dt.dt.datetime(2024, 1, 1)
     with pytest.raises(ValueError):
         src.normalise_time(spark.range(1))
     assert [interval_seconds(x) for x in ("15m", "1h", "1 day")] == [900, 3600, 86400]
@@ -128,3 +128,42 @@ def test_daily_drawdown_of_a_run(spark):
     t = spark.createDataFrame(pd.DataFrame(rows, columns=["run", "exit_ts", "pnl"]))
     got = {r.run: r.max_drawdown for r in performance.daily_drawdown(t, ["run"], 1000.0).collect()}
     assert abs(got[1] - 50.0) < 1e-9 and got[2] == 0.0
+
+
+def test_weighted_equity_is_the_whole_product(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    base = dt.datetime(2024, 1, 1)
+    # rises of hundreds of times after a long and after a short signal: the account grows, is lost, and turns
+    price = [100.0] * 9 + [20.0] + [100.0] * 4 + [20_000.0] * 5 + [4_000.0] + [20_000.0] * 4 + [30_000.0] + [100.0] * 10 + [30.0, 200.0] + [100.0] * 3 + [30_000.0, 80_000.0] + [100.0] * 6
+    rows = [(1, base + dt.timedelta(days=i), 1.0, p, i, 1) for i, p in enumerate(price)]
+    names = "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double, l_orderkey long, l_linenumber int"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, equity = [], 1.0
+    for i, p in enumerate(price):
+        mean = sum(price[i - 9 : i + 1]) / 10 if i >= 9 else None
+        signal = 0 if mean is None else 1 if p < mean * 0.8 else -1 if p > mean * 1.2 else 0
+        if i + 5 < len(price):
+            equity *= 1 + 0.01 * signal * (price[i + 5] / p - 1)
+        want.append(equity)
+    assert max(want) > 5 and min(want) < 0
+    got = __spark_entry__.queries()["coded_and_weighted_equity"](spark, str(tmp_path)).orderBy("ts").collect()
+    assert [r.weighted_equity for r in got] == pytest.approx(want, abs=1e-3)
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    twin = db.execute(f"select ts, weighted_equity from ({__spark_entry__.oracle_sql()['coded_and_weighted_equity']}) order by ts").fetchall()
+    assert [r[1] for r in twin] == [r.weighted_equity for r in got]
+
+
+def test_compounding_through_total_loss(spark):
+    r = [0.5, None, -3.0, 1.0, -1.5, 0.2, -1.0, 4.0]
+    rows = [("a", dt.datetime(2024, 1, 1, i), x) for i, x in enumerate(r)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
+    got = settle(performance.compounded(panel(bars, 0, size=3), "x", "y")).orderBy("ts").collect()
+    want, y = [], 1.0
+    for x in r:
+        y *= 1 + (x or 0.0)
+        want.append(y)
+    assert [g.y for g in got] == pytest.approx(want)
