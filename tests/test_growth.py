@@ -144,3 +144,19 @@ def test_exposure_does_not_build_the_bars_again(spark, monkeypatch):
     got = q.q_summary(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
     assert got.count() == build(spark, "/root/testdata/sf0.001").select("symbol").distinct().count()
+
+
+def test_validation_searches_the_trades_once(spark, tmp_path, monkeypatch):
+    """The runs and the bootstrap of one query read the same written trades."""
+    import datetime as dt
+
+    from tickloom.plans import evaluation_queries as q
+
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), 1.0, float((d * 37 + s * 11) % 83 + 5), 100 * d + s, 1) for s in (1, 2) for d in range(60)]
+    names = "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double, l_extendedprice double, l_orderkey long, l_linenumber int"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made, search = [], q.trades_of
+    monkeypatch.setattr(q, "trades_of", lambda *a, **k: made.append(a) or search(*a, **k))
+    got = q.q_validation(spark, str(tmp_path))
+    assert len(made) == 1
+    assert got.count() == 16 and got.select("symbol").distinct().count() == 2
